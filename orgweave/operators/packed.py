@@ -44,8 +44,9 @@ _EVIDENCE = _list_of(
 
 def _notes(sep: str) -> str:
     """Bare items run to the separator; a quoted one must stand before it or the end."""
-    stop = token(sep)
-    return _list_of(stop / END, (runs(f"^{sep[:2]}" if sep[0] == "\\" else f"^{sep}", 1) / (stop.absent() + chars(r"\|"))).many(1))
+    stop, lead = token(sep), sep[:2] if sep[0] == "\\" else sep[0]
+    rest = runs("^" + lead, 1) / (stop.absent() + chars(lead))  # half a separator belongs to the value
+    return _list_of(stop / END, chars(lead).absent() + rest.many(1))
 
 
 # The separators of notes, tried in this order once quoted values are out of the way.
