@@ -45,12 +45,18 @@ def authority(raw: Column | str, keep_port: bool = False) -> Column:
     return F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
 
 
+_SUFFIXES = "|".join(x.replace(".", r"\.") for x in TWO_LABEL_SUFFIXES)
+#: One pass over the value: scheme, user, as few leading labels as possible, then the root, then the end
+#: of the host. Written as one expression because the optimizer repeats it wherever it infers a filter.
+_ROOT = (
+    r"""^[\s<>"']*+(?:[A-Za-z][A-Za-z0-9+.\-]*+://|//)?+(?:[^/?#@]*+@)*+(?:[A-Za-z0-9\-]*+\.)*?"""
+    rf"""([A-Za-z0-9\-]*+\.(?:(?i:{_SUFFIXES})|[A-Za-z]{{2,}}))\.*+(?=[\s<>"']*+(?:[:/?#]|\z))"""
+)
+
+
 def root_domain(raw: Column | str) -> Column:
     """Registrable root: three labels below a two-label suffix, else two."""
-    host = authority(raw)
-    two = F.substring_index(host, ".", -2)
-    root = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
-    return F.when(host.rlike(r"^[a-z0-9.\-]*\.[a-z]{2,}$"), root)
+    return F.lower(F.nullif(F.regexp_extract(col(raw), _ROOT, 1), F.lit("")))
 
 
 def base_url(raw: Column | str, scheme: str = "https") -> Column:

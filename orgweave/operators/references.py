@@ -40,17 +40,16 @@ def dangling_references(
         raise ValueError(f"match {match!r}")
     keys, cols = list(keys), refs.columns
     inner = [f"_k{i}" for i in range(len(keys))]
+    kept = {c: f"_c{i}" for i, c in enumerate(cols) if c not in keys}
     whole = (1 << len(keys)) - 1
     packed = refs.select(
-        F.struct(*[refs[c] for c in cols]).alias("_row"),
-        *[F.col(k).alias(i) for k, i in zip(keys, inner)],
-        *([F.col("at").alias("_at")] if state else []),
-    ).withColumn("null_mask", null_mask(inner))
+        *[refs[c].alias(i) for c, i in zip(keys, inner)], *[refs[c].alias(i) for c, i in kept.items()]
+    ).withColumn("_mask", null_mask(inner))
     parts = []
     for mask in range(whole):  # the last mask, all NULL, is never a reference
-        own = packed.filter(F.col("null_mask") == mask)
         if mask and match == "simple":
             continue
+        own = packed.filter(F.col("_mask") == mask)
         if mask and match == "full":
             parts.append(own)
             continue
@@ -59,20 +58,21 @@ def dangling_references(
             *[F.col(keys[inner.index(i)]).alias(i) for i in on], *([F.col(state).alias("_state")] if state else [])
         ).dropna(subset=on)
         # one row a key, so that the hot keys of the references can be salted against it
-        if state and on == inner:
-            t = t.withColumn("_found", F.lit(True))
-        elif state:
-            raise ValueError("state needs whole keys")
-        else:
+        if state is None:
             t = t.groupBy(*on).agg(F.lit(True).alias("_found"))
-        joined = salted_join(own.drop(*[i for i in inner if i not in on]), t, on)
-        ok = F.col("_found").isNotNull()
-        if state:
-            before = F.filter("_state", lambda s: s["at"] <= F.col("_at"))
-            ok = ok & (F.size(before) > 0) & F.get(before, F.size(before) - 1)["alive"]
-        parts.append(joined.filter(~F.coalesce(ok, F.lit(False))))
-    out = [p.select("_row", "null_mask") for p in parts]
-    return reduce(DataFrame.unionByName, out).select(*[F.col("_row").getField(c).alias(c) for c in cols], "null_mask")
+            ok = F.col("_found").isNotNull()
+        elif on == inner:
+            before = F.filter("_state", lambda s: s["at"] <= F.col(kept["at"]))
+            ok = F.get(before, F.size(before) - 1)["alive"]
+        else:
+            raise ValueError("state needs whole keys")
+        nulls = [F.lit(None).cast(packed.schema[i].dataType).alias(i) for i in inner if i not in on]
+        joined = salted_join(own.drop(*[i for i in inner if i not in on]), t, on).filter(~F.coalesce(ok, F.lit(False)))
+        parts.append(joined.select("*", *nulls).select(*packed.columns))
+    names = dict(zip(keys, inner)) | kept
+    return reduce(DataFrame.unionByName, parts).select(
+        *[F.col(names[c]).alias(c) for c in cols], F.col("_mask").alias("null_mask")
+    )
 
 
 def month_states(ingests: DataFrame, removals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,24 +100,20 @@ def domain_references(clients: DataFrame, agencies: DataFrame, results: DataFram
     """
     ntz = "timestamp_ntz"
 
-    def refs(df: DataFrame, field: str, column: str, row: str, target: str) -> DataFrame:
-        return df.select(
-            F.lit(field).alias("ref_field"), F.lit(target).alias("target"), root_domain(column).alias("root"),
-            F.col("ingested_at").cast(ntz).alias("ts"), F.col(row).alias("row_id"),
+    def refs(df: DataFrame, column: str, row: str, target: str) -> DataFrame:
+        return df.filter("ingested_at IS NOT NULL").select(
+            F.lit(target).alias("target"), root_domain(column).alias("root"), F.col(row).alias("row_id"),
+            (F.year("ingested_at") * 12 + F.month("ingested_at") - 1).alias("at"),
         )
 
     every = reduce(
         DataFrame.unionByName,
         [
-            refs(clients, "clients.client_domain", "client_domain", "client_row", "results"),
-            refs(clients, "clients.agency_domain", "agency_domain", "client_row", "agencies"),
-            refs(results, "results.domain", "domain", "result_row", "clients"),
+            refs(clients, "client_domain", "client_row", "results"),
+            refs(clients, "agency_domain", "client_row", "agencies"),
+            refs(results, "domain", "result_row", "clients"),
         ],
-    ).filter("ts IS NOT NULL")
-    every = every.select(
-        "ref_field", "target", "root", "row_id",
-        (F.year("ts") * 12 + F.month("ts") - 1).alias("at"), F.date_format("ts", "yyyy-MM").alias("period"),
-    )
+    )
 
     def targets(df: DataFrame, name: str, column: str) -> DataFrame:
         return df.select(F.lit(name).alias("target"), root_domain(column).alias("root"), F.col("ingested_at").cast(ntz).alias("ts"))
@@ -134,4 +130,13 @@ def domain_references(clients: DataFrame, agencies: DataFrame, results: DataFram
         F.col("table_name").alias("target"), root_domain("domain").alias("root"), F.col("removed_at").cast(ntz).alias("ts")
     )
     states = month_states(ingests, gone, ["target", "root"])
-    return dangling_references(every, states, ["target", "root"], state="states")
+    lost = dangling_references(every, states, ["target", "root"], state="states")
+    field = F.when(F.col("target") == "results", "clients.client_domain").when(
+        F.col("target") == "agencies", "clients.agency_domain"
+    )
+    month = F.lpad((F.col("at") % 12 + 1).cast("string"), 2, "0")
+    return lost.select(
+        field.otherwise("results.domain").alias("ref_field"),
+        F.concat_ws("-", F.lpad(F.floor(F.col("at") / 12).cast("string"), 4, "0"), month).alias("period"),
+        "row_id",
+    )
