@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orgweave.shipping import ship
 from orgweave.staging import stage
 
 SLICE = 1 << 20
@@ -229,6 +230,7 @@ def _slice(raw: memoryview, nbytes: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """df with one more column, the consistent form of ``text``; a column of that name is replaced."""
+    ship(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*rest, T.StructField(out, T.StringType())])
     at = [f.name for f in rest].index(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orgweave.llm.canonical import canonical_text, lookalike_pairs
+from orgweave.llm.residue import residue_pages
+from orgweave.llm.wrappers import main_lines, page_lines
 from orgweave.tables import table
 
 
@@ -18,5 +20,19 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text(docs).select("doc_id", "canonical")
 
 
-QUERIES = {"p9_found": p9_found, "p9_canonical": p9_canonical}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = page_lines(table(spark, sf_dir, "pages"))
+    return main_lines(lines, residue_pages(lines))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_kinds(spark, sf_dir).select("page_id")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to exclude, with the kinds of evidence."""
+    return residue_pages(page_lines(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLE: dict[str, str] = {}
