@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orgweave.functions.urls import root_domain
 from orgweave.llm.canonical import canonical_text, lookalike_pairs
+from orgweave.llm.names import entities, variant_pairs
 from orgweave.llm.residue import residue_pages
+from orgweave.llm.survivors import by_trust, discover
 from orgweave.llm.wrappers import main_lines, page_lines
 from orgweave.tables import table
 
@@ -20,6 +24,52 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text(docs).select("doc_id", "canonical")
 
 
+NAMED = {
+    "clients": ("client_row", "client_name", "client_domain"),
+    "agencies": ("agency_row", "agency_name", "agency_domain"),
+}
+FIELDS = {f"clients.{c}": c for c in ("client_name", "client_domain", "confidence", "source")}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        variant_pairs(entities(table(spark, sf_dir, t), *cols)).select(F.lit(t).alias("table_name"), "row_a", "row_b")
+        for t, cols in NAMED.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organisation of each client row."""
+    return entities(table(spark, sf_dir, "clients"), *NAMED["clients"]).select("row", "entity")
+
+
+def _client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client rows of an agency and an organisation that have another such row, with their group."""
+    clients = table(spark, sf_dir, "clients")
+    ent = entities(clients, *NAMED["clients"]).select(F.col("row").alias("client_row"), "entity")
+    rows = clients.withColumn("agency", root_domain("agency_domain")).filter("agency IS NOT NULL").join(ent, "client_row")
+    return rows.select("agency", "entity", "client_row", *FIELDS.values(), "last_checked")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _client_groups(spark, sf_dir)
+    level = F.lower(F.trim("confidence"))
+    rank = F.when(level == "high", 0).when(level == "medium", 1).when(level == "low", 2).otherwise(3)
+    trust = [rank, -F.unix_micros(F.col("last_checked").cast("timestamp")), F.col("client_row")]
+    groups = rows.groupBy("agency", "entity").agg(F.min("client_row").alias("group_row"), F.count(F.lit(1)).alias("n"))
+    kept = by_trust(rows, ["agency", "entity"], FIELDS, trust)
+    return kept.join(groups.filter("n > 1"), ["agency", "entity"]).select("group_row", "field_name", "kept")
+
+
+def p4_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that estimated source reliabilities support best, a source being a finding method."""
+    method = F.coalesce(F.nullif(F.regexp_extract("source", r"^[a-z_]+(?:\+[a-z_]+)*", 0), F.lit("")), F.lit("(unrecorded)"))
+    rows = _client_groups(spark, sf_dir).withColumn("method", method)
+    kept, _ = discover(rows, ["agency", "entity"], FIELDS, "method")
+    return kept
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = page_lines(table(spark, sf_dir, "pages"))
     return main_lines(lines, residue_pages(lines))
@@ -34,5 +84,5 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(page_lines(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_truth": p4_truth, "p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLE: dict[str, str] = {}
