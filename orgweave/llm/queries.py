@@ -7,13 +7,44 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.urls import root_domain
 from orgweave.llm.canonical import canonical_text, lookalike_pairs
+from orgweave.llm.mixing import mix, shares
 from orgweave.llm.names import entities, variant_pairs
+from orgweave.llm.packing import pack
 from orgweave.llm.residue import residue_pages
 from orgweave.llm.survivors import by_trust, discover
+from orgweave.llm.tokens import with_tokens
 from orgweave.llm.wrappers import main_lines, page_lines
 from orgweave.tables import table
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text or piece, for every pack size."""
+    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_sizes"), "doc_id", "tokens")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and fill of each pack size."""
+    per = p7_containers(spark, sf_dir).groupBy("pack_name", "container", "capacity").agg(F.sum("tokens").alias("tokens"))
+    return per.groupBy("pack_name").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") / F.sum("capacity")).alias("fill"), F.max(F.col("tokens") / F.col("capacity")).alias("fullest"),
+    )
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each plan."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each plan reaches."""
+    return shares(p8_copies(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
@@ -84,5 +115,11 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(page_lines(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_truth": p4_truth, "p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_entities, p4_found, p4_truth, p5_found, p6_found, p6_kinds, p7_containers, p7_fill, p8_copies, p8_shares,
+        p9_found, p9_canonical,
+    )
+}
 ORACLE: dict[str, str] = {}
