@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgweave.functions.urls import root_domain
 from orgweave.llm.components import components
@@ -125,22 +126,32 @@ def site_label(domain: str) -> Column:
     return F.regexp_replace(F.substring_index(root_domain(domain), ".", 1), "-", "")
 
 
-def read_names(df: DataFrame, row: str, name: str, domain: str) -> DataFrame:
-    """(row, name, label, own, trade, initial); name NULL where it is a stand-in."""
-    ship(df.sparkSession)
-    src = df.select(
-        F.col(row).cast("bigint").alias("row"), F.when(~stand_in(F.col(name)), F.col(name)).alias("name"), site_label(domain).alias("label")
-    )
+_READ = T.StructType([T.StructField(n, T.StringType()) for n in ("own", "trade", "initial")])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str | None] = {}
-        for b in batches:
-            got = [read_name(x, cache) for x in b.column(1).to_pylist()]
-            cols = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["row", "name", "label", "own", "trade", "initial"])
+def _read(names: pa.Array) -> pa.Array:
+    """The parts of each name; equal names of a batch are read once."""
+    words: dict[str, str | None] = {}
+    seen: dict[str | None, tuple[str, str, str]] = {}
+    got = []
+    for x in names.to_pylist():
+        r = seen.get(x)
+        if r is None:
+            r = seen[x] = read_name(x, words)
+        got.append(r)
+    cols = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]
+    return pa.StructArray.from_arrays(cols, names=["own", "trade", "initial"])
 
-    schema = "row bigint, name string, label string, own string, trade string, initial string"
-    return src.mapInArrow(run, schema)
+
+def read_names(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, name, label, own, trade, initial) and the columns to keep; name NULL where it is a stand-in."""
+    ship(df.sparkSession)
+    src = df.select(
+        F.col(row).cast("bigint").alias("row"), F.when(~stand_in(F.col(name)), F.col(name)).alias("name"),
+        site_label(domain).alias("label"), *keep,
+    )
+    read = src.withColumn("_r", F.arrow_udf(_read, _READ)("name"))
+    return read.select("row", "name", "label", "_r.own", "_r.trade", "_r.initial", *keep)
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -216,7 +227,7 @@ def _index(forms: DataFrame, common: DataFrame | None = None) -> DataFrame:
         words = F.array_distinct(F.concat(words, F.array("label")))
     got = forms.withColumn("word", F.explode(words)).withColumn("suffix", F.right("word", F.lit(SUFFIX)))
     if common is None:
-        return got
+        return got.drop("word")
     # a common suffix is refined by the whole word and how the other words begin
     got = got.join(common, "suffix", "left")
     others = F.filter(F.split("own", r"\|"), lambda w: w != F.col("word"))
@@ -225,11 +236,13 @@ def _index(forms: DataFrame, common: DataFrame | None = None) -> DataFrame:
     return got.withColumn("suffix", F.explode(F.array_distinct(keys))).drop("_common", "word")
 
 
-def _match(a: DataFrame, b: DataFrame, a_id: str, b_cols: list[str]) -> DataFrame:
+def _match(a: DataFrame, b: DataFrame, a_id: str, b_cols: list[str], when: Column | None = None) -> DataFrame:
     """Candidate pairs of one block whose trades don't exclude each other, with their LCS ratio >= RATIO."""
     ta, tb = F.split("trade", r"\|"), F.split("trade_b", r"\|")
     same = (F.col("trade") != "") & (F.col("trade_b") != "")
     pairs = a.join(b, "suffix").filter(~same | F.arrays_overlap(ta, tb))
+    if when is not None:
+        pairs = pairs.filter(when)
     # an initial is little to go by: the trade must be stated on both sides
     pairs = pairs.filter(same | ((F.col("initial") == "") & (F.col("initial_b") == "")))
     pairs = pairs.select(
@@ -239,32 +252,42 @@ def _match(a: DataFrame, b: DataFrame, a_id: str, b_cols: list[str]) -> DataFram
     return pairs.mapInArrow(_ratios, schema).filter(F.col("score") >= RATIO)
 
 
-def entities(df: DataFrame, row: str, name: str, domain: str) -> DataFrame:
-    """(row, name, entity): rows of one organisation share an entity; rows of none are left out."""
-    rows = stage(read_names(df, row, name, domain), "names")
+def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, name, entity) and the columns to keep: rows of one organisation share an entity; rows of none
+    are left out."""
+    rows = stage(read_names(df, row, name, domain, keep), "names")
     form = ["own", "trade", "initial"]
     has_own = F.col("own") != ""
     # a site none of whose names has words of its own is known by its label
-    sited = rows.filter("label IS NOT NULL").withColumn("own", F.when(has_own, F.col("own")).otherwise(F.col("label")))
-    sited = sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n"))
+    sited = rows.filter("label IS NOT NULL").select(
+        "label", F.when(has_own, F.col("own")).otherwise(F.col("label")).alias("own"), "trade", "initial"
+    )
+    sited = stage(sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n")), "sited")
     free = rows.filter(F.col("label").isNull() & has_own).groupBy(*form).agg(F.min("row").alias("id"))
-    every = _index(sited).select("suffix").unionByName(_index(free).select("suffix"))
-    common = every.groupBy("suffix").count().filter(F.col("count") > COMMON).select("suffix", F.lit(True).alias("_common"))
+    free = stage(free, "free")
+    # only suffixes of forms without a site are looked up, so only theirs are counted and kept
+    wanted = _index(free).groupBy("suffix").agg(F.count(F.lit(1)).alias("n_free"))
+    held = _index(sited).join(wanted.select("suffix"), "suffix", "left_semi").groupBy("suffix").agg(F.count(F.lit(1)).alias("n_sited"))
+    common = wanted.join(held, "suffix", "left").filter(F.col("n_free") + F.coalesce("n_sited", F.lit(0)) > COMMON)
+    common = stage(common.select("suffix", F.lit(True).alias("_common")), "common")
+    common = None if common.isEmpty() else common
     sited_i, free_i = _index(sited, common), _index(free, common)
     rename = {"own": "own_b", "trade": "trade_b", "initial": "initial_b"}
     to_site = _match(free_i, sited_i.withColumnsRenamed(rename), "id", ["label", "n"])
     best = to_site.groupBy("id").agg(F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "label")).alias("m"))
     best = stage(best.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity")), "sites")
-    alone = free_i.join(best, "id", "left_anti")
-    other = alone.select("suffix", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in form])
+    alone = stage(free.join(best, "id", "left_anti"), "alone")
+    alone_i = _index(alone, common)
+    other = alone_i.select("suffix", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in form])
     # within a block each form is held against later ones only
-    twos = _match(alone, other, "id", ["id_b"]).filter("id < id_b").select("id", "id_b")
+    twos = _match(alone_i, other, "id", ["id_b"], F.col("id") < F.col("id_b")).select("id", "id_b")
     comp = components(twos, "id", "id_b")
-    rest = free.join(best, "id", "left_anti").select("id").join(comp, "id", "left")
+    rest = alone.select("id").join(comp, "id", "left")
     rest = rest.select("id", F.concat(F.lit("f:"), F.coalesce("component", "id").cast("string")).alias("entity"))
     of_form = free.join(best.unionByName(rest), "id").select(*form, "entity")
-    with_site = rows.filter("label IS NOT NULL").select("row", "name", F.concat(F.lit("s:"), F.col("label")).alias("entity"))
-    without = rows.filter(F.col("label").isNull() & has_own).join(of_form, form).select("row", "name", "entity")
+    out = ["row", "name", "entity", *keep]
+    with_site = rows.filter("label IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("label"))).select(*out)
+    without = rows.filter(F.col("label").isNull() & has_own).join(of_form, form).select(*out)
     return with_site.unionByName(without)
 
 

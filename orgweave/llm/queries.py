@@ -76,21 +76,19 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Client rows of an agency and an organisation that have another such row, with their group."""
-    clients = table(spark, sf_dir, "clients")
-    ent = entities(clients, *NAMED["clients"]).select(F.col("row").alias("client_row"), "entity")
-    rows = clients.withColumn("agency", root_domain("agency_domain")).filter("agency IS NOT NULL").join(ent, "client_row")
-    return rows.select("agency", "entity", "client_row", *FIELDS.values(), "last_checked")
+    """Client rows with their agency and organisation."""
+    keep = ["agency", *FIELDS.values(), "last_checked"]
+    clients = table(spark, sf_dir, "clients").withColumn("agency", root_domain("agency_domain")).filter("agency IS NOT NULL")
+    return entities(clients, *NAMED["clients"], keep=keep).drop("name").withColumnRenamed("row", "client_row")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _client_groups(spark, sf_dir)
     level = F.lower(F.trim("confidence"))
     rank = F.when(level == "high", 0).when(level == "medium", 1).when(level == "low", 2).otherwise(3)
     trust = [rank, -F.unix_micros(F.col("last_checked").cast("timestamp")), F.col("client_row")]
-    groups = rows.groupBy("agency", "entity").agg(F.min("client_row").alias("group_row"), F.count(F.lit(1)).alias("n"))
-    kept = by_trust(rows, ["agency", "entity"], FIELDS, trust)
-    return kept.join(groups.filter("n > 1"), ["agency", "entity"]).select("group_row", "field_name", "kept")
+    group = [F.min("client_row").alias("group_row"), F.count(F.lit(1)).alias("n")]
+    kept = by_trust(_client_groups(spark, sf_dir), ["agency", "entity"], FIELDS, trust, group)
+    return kept.filter("n > 1").select("group_row", "field_name", "kept")
 
 
 def p4_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
