@@ -5,6 +5,8 @@ Nulls in give nulls out; a value that is not domain-shaped gives NULL, never an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it. Where an expression
+    would be repeated, the optimizer would otherwise multiply it through projections and filters."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def blank_to_null(c: Column | str) -> Column:
     """NULL for NULL, empty and all-blank strings."""
     c = col(c)
