@@ -14,6 +14,7 @@ from orgweave.functions.names import match_forms, name_key, same_brand, squash,
 from orgweave.functions.urls import blank_to_null, root_domain
 from orgweave.operators.scoring import level_rank
 from orgweave.operators.upsert import earliest_value
+from orgweave.staging import stage
 
 
 def _level(rank: Column) -> Column:
@@ -128,7 +129,7 @@ def apply_rules(clients: DataFrame, names: DataFrame, domains: DataFrame, junk:
     )
     c = c.withColumn("client_domain", F.coalesce("_dc", "client_domain")).drop("_dk", "_dc", "_k")
     stem = F.substring_index(F.coalesce("client_domain", F.lit("")), ".", 1)
-    keyed = c.withColumn("_row", F.struct("agency", "seq"))
+    keyed = stage(c.withColumn("_row", F.struct("agency", "seq")), "renamed")
     forms = keyed.select("_row", "agency", F.explode(F.array_union(match_forms("client_name"), match_forms(stem))).alias("form"))
     j = junk.select(F.col("form").alias("_form"), F.col("agency").alias("_agency"))
     bad = forms.join(j, forms["form"] == j["_form"]).filter("_agency IS NULL OR _agency = agency").select("_row").distinct()
@@ -146,7 +147,8 @@ def final(clients: DataFrame) -> DataFrame:
 
 def fold_pages(records: DataFrame) -> DataFrame:
     """The whole fold: merge, reconcile, promote, attach."""
-    return attach_domains(promote(reconcile(merge_records(records))))
+    merged = stage(merge_records(records), "merged")
+    return attach_domains(stage(promote(reconcile(merged)), "reconciled"))
 
 
 def best_page(records: DataFrame) -> DataFrame:

@@ -43,12 +43,12 @@ def read_saved_html(spark: SparkSession, glob: str) -> DataFrame:
 def decode_page(body: Column, content_type: Column) -> Column:
     """Text of a binary body: the header's character set, else the one its head declares, else UTF-8. NULL
     for types that are no text."""
-    head = F.decode(F.substring(body, 1, 4096), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
     named = F.nullif(F.lower(F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w-]+)", 1)), F.lit(""))
     meta = F.nullif(F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)), F.lit(""))
     cs = F.coalesce(named, meta, F.lit("utf-8"))
     latin = cs.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "us-ascii")
-    text = F.when(latin, F.decode(body, F.lit("ISO-8859-1"))).when(cs == "utf-16", F.decode(body, F.lit("UTF-16"))).otherwise(F.decode(body, F.lit("UTF-8")))
+    text = F.when(latin, F.decode(body, "ISO-8859-1")).when(cs == "utf-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
     texty = content_type.isNull() | F.lower(content_type).rlike("text|html|xml|json|javascript")
     return F.when(texty, text)
 
