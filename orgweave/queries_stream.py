@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgweave.queries_data import _root
 from orgweave.sources import captured
 from orgweave.staging import shared_dir
 from orgweave.streaming import batches
@@ -73,17 +74,24 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query(
+    f"""SELECT client_row AS row, 0 AS ord, trim(coalesce(client_name, '')) AS name, {_root('client_domain')} AS domain FROM clients
+WHERE (trim(client_domain) <> '' OR (client_domain IS NOT NULL AND trim(client_name) <> '' AND length(client_name) < 80)) AND ({_root('client_domain')} IS NOT NULL OR trim(client_name) <> '')"""
+)
 def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and domains anywhere in JSON trees derived from client rows."""
     c = table(spark, sf_dir, "clients").select("client_row", F.to_json(F.struct(F.struct(F.struct(F.col("client_name").alias("name"), F.col("client_domain").alias("website")).alias("item")).alias("a"))).alias("js"))
     return captured.json_pairs(c, "client_row", "js")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT score_row, regexp_split_to_array(qualifying_client_domains, '[^A-Za-z0-9.-]+') AS d FROM agency_scorecard WHERE qualifying_client_domains IS NOT NULL),
+u AS (SELECT score_row, unnest(d) AS d, generate_subscripts(d, 1) AS i FROM t), r AS (SELECT score_row, {_root('d')} AS root, min(i) AS i FROM u WHERE {_root('d')} IS NOT NULL GROUP BY ALL)
+SELECT score_row, (row_number() OVER (PARTITION BY score_row ORDER BY i) - 1)::INT AS pos, root FROM r"""
+)
 def pasted_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains in lists as they are pasted, one a line, in order."""
-    lines = F.regexp_replace("qualifying_client_domains", r"[\s,;|]+", "\n")
+    lines = F.regexp_replace("qualifying_client_domains", r"""[\s,;|\[\]"]+""", "\n")
     return table(spark, sf_dir, "agency_scorecard").select("score_row", F.posexplode(captured.pasted_domains(lines)).alias("pos", "root"))
 
 
@@ -93,7 +101,10 @@ def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(captured.cache_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"))
 
 
-@query()
+@query(
+    f"""SELECT site, url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS rn FROM (SELECT DISTINCT {_root('url')} AS site, url FROM pages) WHERE site IS NOT NULL)
+WHERE rn <= 32"""
+)
 def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of each site from sitemaps made of its pages: one index, one map of pages."""
     from orgweave.functions.urls import root_domain

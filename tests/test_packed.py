@@ -1,5 +1,7 @@
 """Packed fields against a scanner written by hand."""
 
+import re
+
 import pytest
 
 from orgweave.operators.packed import split_packed
@@ -43,3 +45,82 @@ def test_flags_and_length(spark):
 
 def test_empty_table(spark):
     assert split_packed(spark.createDataFrame([], "id bigint, v string"), "v", "id", "notes").count() == 0
+
+
+def quoted(s, i, ends):
+    """End of a quoted value at i that closes before a boundary, else None."""
+    if s[i] != '"':
+        return None
+    j = i + 1
+    while j < len(s):
+        if s[j] == '"':
+            if s[j + 1 : j + 2] == '"':
+                j += 2
+                continue
+            k = j + 1
+            while k < len(s) and s[k].isspace():
+                k += 1
+            return j + 1 if ends(s, k, j + 1) else None
+        j += 1
+    return None
+
+
+def scan(s, style, sep=None):
+    """One pass, character by character."""
+    kind = lambda k: bool(re.match(r'"?\[[A-Za-z_]+\]\s', s[k:]))
+
+    def boundary(k):  # of evidence: a run of separators and blanks, then a value or the end
+        j = k
+        while j < len(s) and (s[j] in "|;" or s[j].isspace()):
+            j += 1
+        return j == len(s) or kind(j)
+
+    if style == "tokens":
+        stop = lambda k: s[k].isspace() or s[k] in "|,;[]"
+        ends = lambda t, k, j: k == len(t) or j < k or stop(k)
+    elif style == "evidence":
+        stop = lambda k: s[k] in "|;\n" and boundary(k)
+        ends = lambda t, k, j: k == len(t) or t[k] in "|;\n" or kind(k)
+    else:
+        stop = lambda k: s.startswith(sep, k)
+        ends = lambda t, k, j: k == len(t) or t.startswith(sep, k) or (sep == "\n" and "\n" in t[j:k])
+    out, i = [], 0
+    while i < len(s):
+        if s[i].isspace() or stop(i) or (style == "evidence" and s[i] in "|;"):
+            i += len(sep) if sep and s.startswith(sep, i) else 1
+            continue
+        end = quoted(s, i, ends)
+        if end:
+            item = s[i + 1 : end - 1].replace('""', '"').strip()
+        else:
+            end = i
+            while end < len(s) and not stop(end):
+                end += 1
+            item = s[i:end].strip()
+        if item and item != "/":
+            out.append(item)
+        i = end
+    return out
+
+
+@pytest.mark.parametrize(("tab", "field", "style"), [("agencies", "tiktok_evidence", "evidence"), ("agency_scorecard", "qualifying_client_domains", "tokens"), ("results", "gtm_ids", "tokens")])
+def test_whole_tables_against_a_scanner(spark, sf, tab, field, style):
+    df = spark.read.parquet(f"{sf}/{tab}.parquet")
+    row = df.columns[0]
+    want = {r[0]: scan(r[1], style) for r in df.select(row, field).collect() if r[1] and r[1].strip()}
+    got = {k: [] for k in want}
+    for r in split_packed(df, field, row, style).orderBy("row_id", "pos").collect():
+        got[r.row_id].append(r.item)
+    assert got == want
+
+
+def test_notes_against_every_separator(spark, sf):
+    """Each note string is what the scanner makes of it with one of the separators, and key=values are never joined."""
+    df = spark.read.parquet(f"{sf}/agencies.parquet")
+    notes = {r.agency_row: r.notes for r in df.collect() if r.notes and r.notes.strip()}
+    got = {k: [] for k in notes}
+    for r in split_packed(df, "notes", "agency_row", "notes").orderBy("row_id", "pos").collect():
+        got[r.row_id].append(r.item)
+    for k, s in notes.items():
+        assert got[k] in [scan(s, "notes", sep) for sep in ("\n", "||", "|", ";")]
+        assert not any(re.search(r"[|;]\s*[a-z_]+=", x) for x in got[k])
