@@ -82,10 +82,14 @@ def _client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(clients, *NAMED["clients"], keep=keep).drop("name").withColumnRenamed("row", "client_row")
 
 
+#: Microseconds of a time without zone, whatever the session's zone.
+_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(last_checked AS TIMESTAMP_NTZ))"
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.lower(F.trim("confidence"))
     rank = F.when(level == "high", 0).when(level == "medium", 1).when(level == "low", 2).otherwise(3)
-    trust = [rank, -F.unix_micros(F.col("last_checked").cast("timestamp")), F.col("client_row")]
+    trust = [rank, -F.expr(_MICROS), F.col("client_row")]
     group = [F.min("client_row").alias("group_row"), F.count(F.lit(1)).alias("n")]
     kept = by_trust(_client_groups(spark, sf_dir), ["agency", "entity"], FIELDS, trust, group)
     return kept.filter("n > 1").select("group_row", "field_name", "kept")
