@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions.urls import blank_to_null, root_domain
-from orgweave.operators.upsert import earliest_value
+from orgweave.operators.upsert import earliest_value, row_number_over
 
 OUTCOMES = ("qualifying", "tiktok_free", "has_tiktok", "unreachable", "unchecked")
 
@@ -48,13 +48,14 @@ def scorecard(
     rows = client_outcomes(clients, tags).filter(F.col("agency").isNotNull() & (level_rank(F.col("confidence")) <= floor))
     seq = F.col(client_seq)
     one = lambda o: F.count(F.when(F.col("outcome") == o, 1))
-    # qualifying sites are counted by site before they are collected, so a hot agency collects sites, not rows
+    # the first sites of an agency are picked before the shuffle and only these are collected
     counts = rows.groupBy("agency").agg(
         F.min(seq).alias("first_seq"), earliest_value(F.col("agency_name"), seq).alias("agency_name"),
         F.min_by(F.col("vertical"), seq).alias("vertical"), F.count(F.lit(1)).alias("clients_found"),
         *[one(o).alias(f"n_{o}") for o in OUTCOMES],
     )
     sites = rows.filter("outcome = 'qualifying'").groupBy("agency", "site").agg(F.count(F.lit(1)).alias("n"))
+    sites = row_number_over(sites, ["agency"], [F.col("site")], shown)
     few = F.array_sort(F.collect_list(F.struct("site", "n")))
     opened = F.flatten(F.transform(few, lambda s: F.array_repeat(s["site"], F.least(s["n"], F.lit(shown)).cast("int"))))
     sites = sites.groupBy("agency").agg(F.array_join(F.slice(opened, 1, shown), " ").alias("qualifying_client_domains"))
@@ -103,4 +104,5 @@ def summary_totals(agencies: DataFrame, clients: DataFrame, tags: DataFrame) ->
         F.count(F.lit(1)).alias("sites_checked"), yes("qualifies").alias("qualifying_clients"), yes("tiktok").alias("clients_with_tiktok"),
         F.count(F.when(blank_to_null(F.col("status")).isNotNull() & (F.col("status") != "ok"), 1)).alias("unreachable"),
     )
-    return a.crossJoin(c).crossJoin(t)  # one row each
+    one = lambda df: df.select(F.struct("*")).scalar()
+    return a.withColumn("_c", one(c)).withColumn("_t", one(t)).select(*a.columns, "_c.*", "_t.*")

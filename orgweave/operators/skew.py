@@ -14,12 +14,8 @@ SALTS = 32
 def hot_keys(df: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
     """Keys with more than 1/share of df's rows (fewer than share rows). Nulls never count."""
     counts = df.dropna(subset=keys).groupBy(*keys).count()
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .filter((F.col("count") > F.col("_total") / share) & (F.col("count") > 1000))
-        .select(*keys)
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.filter((F.col("count") > total / share) & (F.col("count") > 1000)).select(*keys)
 
 
 def salted_join(
