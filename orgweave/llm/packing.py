@@ -98,7 +98,9 @@ def pack(items: DataFrame, packs: DataFrame, item_id: str, size: str) -> DataFra
     ship(items.sparkSession)
     sizes = packs.select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).filter("capacity > 0").distinct()
     its = items.select(F.col(item_id).alias("_id"), F.col(size).cast("bigint").alias("_n")).filter("_n > 0")
-    each = its.crossJoin(F.broadcast(sizes))  # a few packs
+    # the packs, a few rows, come as one array
+    few = sizes.agg(F.collect_list(F.struct("pack_name", "capacity"))).scalar()
+    each = its.withColumn("_p", F.explode(few)).select("_id", "_n", "_p.pack_name", "_p.capacity")
     each = each.withColumn("whole", F.floor(F.col("_n") / F.col("capacity"))).withColumn("length", F.col("_n") % F.col("capacity"))
     each = each.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(BLOCKS)).cast("int"))
     each = stage(each, "items")
