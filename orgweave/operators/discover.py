@@ -89,6 +89,13 @@ def platform_status(pages: DataFrame) -> DataFrame:
     return per.select("agency", status.alias("status"), mentions.alias("mentions"), "kinds", text.alias("evidence"), "pages_read")
 
 
+def annotations(kinds: Column, mentioned: Column) -> Column:
+    """WEAK when all evidence is a link or markup; TARGET when there is none but other video channels are named."""
+    weak = (F.size(kinds) > 0) & F.forall(kinds, lambda k: k.isin("social_link", "markup_only"))
+    target = (F.size(kinds) == 0) & F.arrays_overlap(mentioned, F.array(F.lit("meta"), F.lit("youtube"), F.lit("reels")))
+    return F.when(weak, "WEAK").when(target, "TARGET")
+
+
 def parse_status(pages_read: Column, clients: Column, drawn: Column) -> Column:
     """unreachable and needs_manual_review leave the count unknown; no_clients_found is a real zero."""
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orgweave.functions import names as N
 from orgweave.functions.urls import root_domain
 from orgweave.operators import extract, resolve
+from orgweave.plans import pipeline
 from orgweave.queries_data import _root
 from orgweave.queries_scalar import _brand, _label, _namekey, _plausible_sql
 from orgweave.tables import table
@@ -167,6 +168,12 @@ def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.final(resolve.apply_rules(resolve.fold_pages(c), names, domains, junk, levels))
 
 
+@query()
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup to scorecard in one plan."""
+    return pipeline.run(client_markup(spark, sf_dir), table(spark, sf_dir, "results"), table(spark, sf_dir, "agencies"))
+
+
 @query()
 def best_client_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "clients").select(root_domain("agency_domain").alias("agency"), F.regexp_extract("source", r":(https?://\S+)$", 1).alias("page_url"), "client_name", "client_row")

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orgweave.operators.upsert import coalescing_upsert
@@ -15,7 +16,7 @@ from orgweave.shipping import ship
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet", schema: str = EVENTS) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet", schema: str | T.StructType = EVENTS) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
@@ -47,9 +48,9 @@ def upsert_available(
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_version(spark: SparkSession, table: str) -> DataFrame:
+def latest_version(spark: SparkSession, table: str, number: str = "v") -> DataFrame:
     every = spark.read.parquet(table)
-    return every.filter(F.col("v") == every.agg(F.max("v")).first()[0]).drop("v")
+    return every.filter(F.col(number) == every.agg(F.max(number)).first()[0]).drop(number)
 
 
 def _state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

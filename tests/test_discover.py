@@ -53,3 +53,9 @@ def test_candidates_and_names(spark):
     assert {(r.agency_domain, r.agency_name, r.status) for r in D.enrich_names(a, pages).collect()} == {("elm.test", "Elm Digital", "candidate"), ("oak.test", "Oak", "candidate")}
     df = spark.createDataFrame([(["a"], [("G1", ["b", "a"])])], "own array<string>, c array<struct<id:string,labels:array<string>>>")
     assert df.select(D.merge_evidence(F.col("own"), F.col("c"))).first()[0] == "a; b (GTM:G1); a (GTM:G1)"
+
+
+def test_annotations(spark):
+    rows = [(["social_link"], ["meta"], "WEAK"), ([], ["reels"], "TARGET"), ([], [], None), (["service_copy", "markup_only"], [], None)]
+    df = spark.createDataFrame(rows, "k array<string>, c array<string>, want string")
+    assert all(r.want == r.got for r in df.withColumn("got", D.annotations(F.col("k"), F.col("c"))).collect())
