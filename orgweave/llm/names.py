@@ -220,16 +220,19 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[: n - 4], pa.array(score)], names=[*b.schema.names[: n - 4], "score"])
 
 
-def _index(forms: DataFrame, common: DataFrame | None = None) -> DataFrame:
-    """forms, one row for each suffix of its words and its site's label."""
+def _index(forms: DataFrame) -> DataFrame:
+    """forms, one row for each word and site label, with its suffix."""
     words = F.filter(F.split("own", r"\|"), lambda w: F.length(w) > 2)
     if "label" in forms.columns:
         words = F.array_distinct(F.concat(words, F.array("label")))
-    got = forms.withColumn("word", F.explode(words)).withColumn("suffix", F.right("word", F.lit(SUFFIX)))
+    return forms.withColumn("word", F.explode(words)).withColumn("suffix", F.right("word", F.lit(SUFFIX)))
+
+
+def _refine(index: DataFrame, common: DataFrame | None) -> DataFrame:
+    """The index with each common suffix replaced by the whole word and how the other words begin."""
     if common is None:
-        return got.drop("word")
-    # a common suffix is refined by the whole word and how the other words begin
-    got = got.join(common, "suffix", "left")
+        return index.drop("word")
+    got = index.join(common, "suffix", "left")
     others = F.filter(F.split("own", r"\|"), lambda w: w != F.col("word"))
     tails = F.when(F.size(others) == 0, F.array(F.lit(""))).otherwise(F.transform(others, lambda w: F.substring(w, 1, 3)))
     keys = F.when(F.col("_common"), F.transform(tails, lambda t: F.concat_ws("|", "word", t))).otherwise(F.array("suffix"))
@@ -262,22 +265,25 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     sited = rows.filter("label IS NOT NULL").select(
         "label", F.when(has_own, F.col("own")).otherwise(F.col("label")).alias("own"), "trade", "initial"
     )
-    sited = stage(sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n")), "sited")
+    sited = sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n"))
     free = rows.filter(F.col("label").isNull() & has_own).groupBy(*form).agg(F.min("row").alias("id"))
     free = stage(free, "free")
     # only suffixes of forms without a site are looked up, so only theirs are counted and kept
-    wanted = _index(free).groupBy("suffix").agg(F.count(F.lit(1)).alias("n_free"))
-    held = _index(sited).join(wanted.select("suffix"), "suffix", "left_semi").groupBy("suffix").agg(F.count(F.lit(1)).alias("n_sited"))
-    common = wanted.join(held, "suffix", "left").filter(F.col("n_free") + F.coalesce("n_sited", F.lit(0)) > COMMON)
-    common = stage(common.select("suffix", F.lit(True).alias("_common")), "common")
+    free_w = _index(free)
+    wanted = free_w.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_free"))
+    sited_w = stage(_index(sited).join(wanted, "suffix"), "sited")
+    counted = sited_w.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_sited"), F.first("n_free").alias("n_free"))
+    counted = counted.unionByName(wanted.select("suffix", F.lit(0).cast("bigint").alias("n_sited"), "n_free"))
+    common = counted.filter(F.col("n_free") + F.col("n_sited") > COMMON).select("suffix").distinct()
+    common = stage(common.withColumn("_common", F.lit(True)), "common")
     common = None if common.isEmpty() else common
-    sited_i, free_i = _index(sited, common), _index(free, common)
+    sited_i, free_i = _refine(sited_w.drop("n_free"), common), _refine(free_w, common)
     rename = {"own": "own_b", "trade": "trade_b", "initial": "initial_b"}
     to_site = _match(free_i, sited_i.withColumnsRenamed(rename), "id", ["label", "n"])
     best = to_site.groupBy("id").agg(F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "label")).alias("m"))
     best = stage(best.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity")), "sites")
     alone = stage(free.join(best, "id", "left_anti"), "alone")
-    alone_i = _index(alone, common)
+    alone_i = _refine(_index(alone), common)
     other = alone_i.select("suffix", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in form])
     # within a block each form is held against later ones only
     twos = _match(alone_i, other, "id", ["id_b"], F.col("id") < F.col("id_b")).select("id", "id_b")

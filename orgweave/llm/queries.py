@@ -78,8 +78,8 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client rows with their agency and organisation."""
     keep = ["agency", *FIELDS.values(), "last_checked"]
-    clients = table(spark, sf_dir, "clients").withColumn("agency", root_domain("agency_domain")).filter("agency IS NOT NULL")
-    return entities(clients, *NAMED["clients"], keep=keep).drop("name").withColumnRenamed("row", "client_row")
+    clients = table(spark, sf_dir, "clients").withColumn("agency", root_domain("agency_domain"))
+    return entities(clients, *NAMED["clients"], keep=keep).filter("agency IS NOT NULL").drop("name").withColumnRenamed("row", "client_row")
 
 
 #: Microseconds of a time without zone, whatever the session's zone.
