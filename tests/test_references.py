@@ -52,3 +52,18 @@ def test_domains(spark):
         ("clients.agency_domain", "2025-02", 2),  # removed before the month ended
         ("results.domain", "2025-02", 8),
     }
+
+
+def test_hot_keys_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from orgweave.operators.skew import hot_keys, salted_join
+
+    left = spark.range(6000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(7, "hot"), (1, "one"), (99999, "none")], "k bigint, t string")
+    assert [r.k for r in hot_keys(left, ["k"]).collect()] == [7]
+    for how in ("left", "inner"):
+        got = sorted((r.k, r.v, r.t or "") for r in salted_join(left, right, ["k"], how).collect())
+        assert got == sorted((r.k, r.v, r.t or "") for r in left.join(right, "k", how).collect())
+    null_keys = left.withColumn("k", F.when(F.col("v") % 2 == 0, F.col("k")))
+    assert salted_join(null_keys, right, ["k"]).count() == 6000
