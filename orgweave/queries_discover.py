@@ -10,7 +10,7 @@ from orgweave.operators import discover
 from orgweave.operators.health import page_failure
 from orgweave.queries_data import _root
 from orgweave.queries_extract import _NAME, _SITE, client_markup
-from orgweave.queries_scalar import _VISIBLE, _sq
+from orgweave.queries_scalar import _VISIBLE, _clean_title, _sq
 from orgweave.queries_tables import _FAIL
 from orgweave.sources import captured
 from orgweave.tables import table
@@ -87,13 +87,19 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROFILE = f"""concat('<meta property="og:site_name" content="', {_NAME}, ' | Directory"><p>Team: 11-50 employees</p><div class="website-link x"> <a rel="n" href="https://', {_SITE}, '/">site</a></div>')"""
 
 
-@query()
+@query(
+    f"""SELECT client_row, domain, name, '11-50 employees' AS staff FROM (SELECT client_row, {_root("'https://' || " + _SITE + " || '/'")} AS domain, {_clean_title(_NAME + " || ' | Directory'")} AS name FROM clients)
+WHERE domain IS NOT NULL AND NOT regexp_matches(domain, '(?:cdn|static|assets|img|images|fonts|track|analytics)\.')"""
+)
 def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "clients").select("client_row", discover.profile(F.expr(_PROFILE)).alias("p"))
     return c.filter("p IS NOT NULL").select("client_row", "p.*")
 
 
-@query()
+@query(
+    f"""SELECT page_id, name, domain FROM (SELECT client_row AS page_id, substr({_sq("'Visit ' || " + _NAME)}, 1, 80) AS name, {_root("'https://' || " + _SITE + " || '/x'")} AS domain FROM clients) WHERE domain IS NOT NULL
+UNION ALL SELECT client_row, 'Vendor', 'vendor.test' FROM clients"""
+)
 def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = client_markup(spark, sf_dir)
     return m.select("page_id", F.explode(discover.anchor_pairs(F.col("html"))).alias("r")).select("page_id", "r.*")

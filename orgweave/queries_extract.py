@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgweave.functions import lists
 from orgweave.functions import names as N
 from orgweave.functions.urls import root_domain
 from orgweave.operators import extract, resolve
 from orgweave.plans import pipeline
 from orgweave.queries_data import _root
-from orgweave.queries_scalar import _brand, _label, _namekey, _plausible_sql
+from orgweave.queries_scalar import _brand, _cta, _domain_name, _file_sql, _label, _namekey, _plausible_sql, _title_of
 from orgweave.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -56,17 +57,45 @@ def alt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.alt_texts(client_markup(spark, sf_dir)).select(*_COLS)
 
 
-@query()
+_SRC = f"'/uploads/' || replace({_NAME}, ' ', '-') || '-logo-300x120.png'"
+_PAGE = f"SELECT page_id, n, d, a, ad, {_root("'https://' || d || '/x'")} AS root FROM ({_BASE})"
+_BADGE = " OR ".join(f"contains(lower(src), '{w}')" for w in lists.BADGE_WORDS)
+
+
+@query(
+    f"""SELECT page_id, l AS client_name, NULL::VARCHAR AS client_domain, 'medium' AS confidence, 'image_filename' AS method, src FROM (
+SELECT b.page_id, b.a, b.ad, {_label('f.name')} AS l, f.src FROM ({_BASE}) b JOIN (SELECT g.client_row, g.name, {_SRC} AS src FROM ({_file_sql(_SRC)}) g JOIN clients c ON c.client_row = g.client_row) f ON f.client_row = b.page_id)
+WHERE {_plausible_sql('l', 'a', 'ad')} AND NOT ({_BADGE})"""
+)
 def image_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.image_filenames(client_markup(spark, sf_dir)).select(*_COLS, "src")
 
 
-@query()
+def _links_sql(text: str, root: str, where: str) -> str:
+    return f"""SELECT page_id, CASE WHEN ok THEN l ELSE dn END AS client_name, root AS client_domain, 'high' AS confidence, 'outbound_link' AS method, NOT ok AS derived FROM (
+SELECT page_id, l, dn, root, a, ad, {_plausible_sql('l', 'a', 'ad')} AS ok, {_plausible_sql('dn', 'a', 'ad')} AS ok2 FROM (
+SELECT page_id, {_cta(_label(text))} AS l, {_domain_name(root)} AS dn, {root} AS root, a, ad FROM ({_PAGE}) WHERE {where})) WHERE ok OR ok2"""
+
+
+_PLATFORMS = ", ".join(f"'{x}'" for x in lists.BOILERPLATE_DOMAINS)
+
+
+@query(
+    _links_sql("'Visit ' || n", "root", f"root IS NOT NULL AND root <> ad AND root <> 'vendor.test' AND root NOT IN ({_PLATFORMS})")
+    + " UNION ALL " + _links_sql("'Contact'", "coalesce(nullif(ad, ''), 'host.test')", "ad = ''")
+)
 def outbound_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.outbound_links(client_markup(spark, sf_dir)).select(*_COLS, "derived")
 
 
-@query()
+_HEAD, _TITLE_ = _title_of("'How we grew ' || n || ' 30%'"), _title_of("'Case Study: ' || n")
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, a, ad, {_HEAD} AS h, {_TITLE_} AS t FROM ({_BASE})), k AS (SELECT page_id, h, t, h <> '' AND {_plausible_sql('h', 'a', 'ad')} AS ok, t <> '' AND {_plausible_sql('t', 'a', 'ad')} AS okt FROM t)
+SELECT page_id, n AS client_name, NULL::VARCHAR AS client_domain, 'low' AS confidence, 'case_study_title' AS method FROM (
+SELECT page_id, h AS n FROM k WHERE ok UNION ALL SELECT page_id, t FROM k WHERE okt AND NOT (ok AND lower(h) = lower(t)))"""
+)
 def case_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.case_titles(client_markup(spark, sf_dir)).select(*_COLS)
 

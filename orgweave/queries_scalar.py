@@ -115,9 +115,16 @@ def _first(pattern: str, flags: str) -> str:
 
 
 _RAW = f"coalesce({_first(H.OG_NAME[4:], 'i')}, {_first('<h1[^>]*>(.*?)</h1>', 'is')}, {_first('<title[^>]*>(.*?)</title>', 'is')})"
-_CUT = f"trim(regexp_split_to_array({_sq('replace(' + _re(_RAW, '<[^>]+>', ' ') + chr(44) + chr(39) + '&amp;' + chr(39) + chr(44) + chr(39) + '&' + chr(39) + ')')}, '\\s*[|–—>·•]\\s*|\\s+-\\s+')[1])"
+
+
+def _clean_title(raw: str) -> str:
+    amp = f"replace({_re(raw, '<[^>]+>', ' ')}, '&amp;', '&')"
+    cut = f"trim(regexp_split_to_array({_sq(amp)}, '\\s*[|–—>·•]\\s*|\\s+-\\s+')[1])"
+    return rf"substr(trim(regexp_replace({cut}, '^(?:home|welcome to|about)\s*[:\-]?\s*', '', 'i')), 1, 80)"
+
+
 _simple(
-    "page_title", "pages", "page_id", rf"SELECT page_id, substr(trim(regexp_replace({_CUT}, '^(?:home|welcome to|about)\s*[:\-]?\s*', '', 'i')), 1, 80) AS title FROM pages",
+    "page_title", "pages", "page_id", f"SELECT page_id, {_clean_title(_RAW)} AS title FROM pages",
     title=lambda: H.site_name("text"),
 )
 _simple(
@@ -165,22 +172,32 @@ def _namekey(c: str) -> str:
 
 
 _simple("name_key", "clients", "client_row", f"SELECT client_row, {_namekey('client_name')} AS key FROM clients", key=lambda: N.name_key("client_name"))
+
+
+def _cta(c: str) -> str:
+    s = _re(c, r"^(?:shop|visit|view|see|explore|discover|browse|read|check\s+out|go\s+to|learn\s+about|meet)\s+(?:the\s+)?", "", "i")
+    s = _re(_re(s, r"\s+(?:website|site|online|now|here|case\s+study|story|project|work)$", "", "i"), r"^[ .,:\-–—]+|[ .,:\-–—]+$")
+    return f"(CASE WHEN length({s}) >= 2 THEN {s} ELSE {c} END)"
+
+
+def _domain_name(root: str) -> str:
+    return f"""coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(split_part(coalesce({root}, ''), '.', 1), '[-_]+'), lambda p: p <> ''),
+lambda p: CASE WHEN length(p) <= 3 AND regexp_full_match(p, '[A-Za-z]+') THEN upper(p) ELSE upper(substr(p, 1, 1)) || lower(substr(p, 2)) END), ' '), '')"""
+
+
 _simple(
-    "strip_cta", "clients", "client_row",
-    "SELECT client_row, CASE WHEN length(s) >= 2 THEN s ELSE l END AS brand FROM (SELECT client_row, l, "
-    + _re(_re(_re("l", r"^(?:shop|visit|view|see|explore|discover|browse|read|check\s+out|go\s+to|learn\s+about|meet)\s+(?:the\s+)?", "", "i"),
-              r"\s+(?:website|site|online|now|here|case\s+study|story|project|work)$", "", "i"), r"^[ .,:\-–—]+|[ .,:\-–—]+$")
-    + " AS s FROM (SELECT client_row, 'Visit the ' || client_name || ' website' AS l FROM clients))",
+    "strip_cta", "clients", "client_row", f"SELECT client_row, {_cta('l')} AS brand FROM (SELECT client_row, 'Visit the ' || client_name || ' website' AS l FROM clients)",
     brand=lambda: N.strip_cta(F.concat(F.lit("Visit the "), "client_name", F.lit(" website"))),
 )
 _FILE = "'/uploads/2024/' || replace(client_name, ' ', '-') || '-logo-300x120@2x.png'"
 
 
-def _file_sql() -> str:
+def _file_sql(src: str = _FILE) -> str:
+    """(client_row, name) of the file name in an expression over clients."""
     stem = _re("regexp_extract(src, '([^/]*)$', 1)", r"\.(png|jpe?g|svg|webp|gif|avif)$", "", "i")
     stem = _re(stem, r"(?:[-_]\d{2,4}x\d{2,4}|[-_@]\d+x|[-_]\d{3,4})+$", "", "i")
     noise = "[" + ", ".join(f"'{w}'" for w in lists.FILENAME_NOISE) + "]"
-    return f"""WITH f AS (SELECT client_row, {_path(_FILE)} AS src FROM clients),
+    return f"""WITH f AS (SELECT client_row, {_path(src)} AS src FROM clients),
 p AS (SELECT client_row, list_filter(regexp_split_to_array({_re(stem, '[%_+]', '-')}, '[-\\s.]+'), lambda x: x <> '') AS parts FROM f)
 SELECT client_row, CASE WHEN len(parts) = 1 AND (length(parts[1]) > 24 OR regexp_full_match(lower(parts[1]), '[0-9a-f]{{8,}}')) THEN '' ELSE
 coalesce(array_to_string(list_transform(list_filter(parts, lambda x: NOT list_contains({noise}, lower(x)) AND NOT regexp_full_match(x, '\\d{{1,4}}') AND NOT regexp_full_match(lower(x), '[0-9a-f]{{8,}}')),
@@ -193,22 +210,25 @@ _simple(
 )
 _simple(
     "domain_name", "clients", "client_row",
-    f"""SELECT client_row, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(split_part(coalesce({_root('client_domain')}, ''), '.', 1), '[-_]+'), lambda p: p <> ''),
-lambda p: CASE WHEN length(p) <= 3 AND regexp_full_match(p, '[A-Za-z]+') THEN upper(p) ELSE upper(substr(p, 1, 1)) || lower(substr(p, 2)) END), ' '), '') AS name FROM clients""",
+    f"SELECT client_row, {_domain_name(_root('client_domain'))} AS name FROM clients",
     name=lambda: N.domain_name(U.root_domain("client_domain")),
 )
 
 
-def _title_sql() -> str:
-    t = _label("t")
+def _title_of(title: str) -> str:
+    t = _label(title)
     found = []
     for shape in N.TITLE_SHAPES:
         c = f"regexp_extract({t}, '{shape[4:]}', 1, 'i')"
         c = _re(c, r"\s+(?:by\s+)?\d[\d.,]*\s*(?:%|x|percent)?(?:\s+(?:in|on|with|over|across)\b.*)?$", "", "i")
         c = f"trim({_re(_re(c, r'^[ .,:\-–—]+|[ .,:\-–—]+$'), r'^(?:the|our|a)\s+', '', 'i')})"
         found.append(f"nullif({c}, '')")
+    return f"coalesce({', '.join(found)}, '')"
+
+
+def _title_sql() -> str:
     kinds = "CASE client_row % 4 WHEN 0 THEN 'How we grew ' || client_name || ' 300%' WHEN 1 THEN 'Case Study: ' || client_name WHEN 2 THEN 'Scaling ' || client_name || ' to 4 Locations' ELSE client_name || ': 312% More Leads' END"
-    return f"SELECT client_row, coalesce({', '.join(found)}, '') AS name FROM (SELECT client_row, {kinds} AS t FROM clients)"
+    return f"SELECT client_row, {_title_of('t')} AS name FROM (SELECT client_row, {kinds} AS t FROM clients)"
 
 
 _simple(
