@@ -280,8 +280,15 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     sited_i, free_i = _refine(sited_w.drop("n_free"), common), _refine(free_w, common)
     rename = {"own": "own_b", "trade": "trade_b", "initial": "initial_b"}
     to_site = _match(free_i, sited_i.withColumnsRenamed(rename), "id", ["label", "n"])
-    best = to_site.groupBy("id").agg(F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "label")).alias("m"))
+    fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "label")).alias("m")
+    best = to_site.groupBy("id").agg(fit)
     best = stage(best.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity")), "sites")
+    # a form may fit the site only by way of another form without a site that fits it
+    via = _refine(_index(free.join(best, "id").select(*form, F.substring("entity", 3, 1 << 20).alias("home"))), common)
+    via = via.withColumnsRenamed(rename | {"home": "label"}).withColumn("n", F.lit(0).cast("bigint"))
+    second = _match(_refine(_index(free.join(best, "id", "left_anti")), common), via, "id", ["label", "n"]).groupBy("id").agg(fit)
+    second = second.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity"))
+    best = stage(best.unionByName(second), "sites")
     alone = stage(free.join(best, "id", "left_anti"), "alone")
     alone_i = _refine(_index(alone), common)
     other = alone_i.select("suffix", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in form])
