@@ -89,7 +89,7 @@ _PROFILE = f"""concat('<meta property="og:site_name" content="', {_NAME}, ' | Di
 
 @query(
     f"""SELECT client_row, domain, name, '11-50 employees' AS staff FROM (SELECT client_row, {_root("'https://' || " + _SITE + " || '/'")} AS domain, {_clean_title(_NAME + " || ' | Directory'")} AS name FROM clients)
-WHERE domain IS NOT NULL AND NOT regexp_matches(domain, '(?:cdn|static|assets|img|images|fonts|track|analytics)\.')"""
+WHERE domain IS NOT NULL AND NOT regexp_matches(domain, '(?:cdn|static|assets|img|images|fonts|track|analytics)\\.')"""
 )
 def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "clients").select("client_row", discover.profile(F.expr(_PROFILE)).alias("p"))

@@ -6,6 +6,8 @@ A stage is computed once, its lineage ends there, and losing an executor loses n
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,11 +19,19 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     got = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="orgweave-")
+        folder = tempfile.mkdtemp(prefix="orgweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        got = f"file://{folder}"
         spark.conf.set(_KEY, got)
     return got.rstrip("/")
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all stages in the shared folder; for the end of an application, as results may still read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/orgweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """df, written once and read again. Column order, names and types are kept; row order is not."""
     spark = df.sparkSession

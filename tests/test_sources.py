@@ -68,3 +68,17 @@ def test_state(tmp_path):
     assert "unreadable" in state.load_state(p, {})[1]
     with pytest.raises(RuntimeError):
         state.load_rules(p, {})
+
+
+def test_stages(spark):
+    from pathlib import Path
+
+    from orgweave.staging import clean, shared_dir, stage
+
+    df = stage(spark.range(5).withColumn("s", F.lit("x")), "t")
+    assert df.count() == 5 and df.columns == ["id", "s"]
+    at = Path(shared_dir(spark).removeprefix("file://")) / "orgweave"
+    assert any(at.iterdir())
+    clean(spark)
+    assert not at.exists()
+    assert stage(spark.range(0)).count() == 0
