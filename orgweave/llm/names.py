@@ -93,10 +93,13 @@ def read_name(name: str | None, cache: dict[str, str | None]) -> tuple[str, str,
     """(own words joined by |, trades joined by |, initial)."""
     if not name:
         return "", "", ""
-    s = unicodedata.normalize("NFKD", _CAMEL.sub(" ", name))
-    s = "".join(c for c in s if not unicodedata.combining(c)).lower()
+    s = _CAMEL.sub(" ", name)
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    if "(" in s or "- " in s:
+        s = _ASIDE.sub(" ", s)
     own, trades, initial = [], set(), ""
-    for t in _TOKEN.findall(_ASIDE.sub(" ", s)):
+    for t in _TOKEN.findall(s.lower()):
         if "." in t:
             t = t.replace(".", "")
         if t in NOISE or t in _GIVEN:
