@@ -146,15 +146,20 @@ def _read(names: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(cols, names=["own", "trade", "initial"])
 
 
+def _kept(i: int) -> str:
+    """Name under which a column to keep passes, whatever its own."""
+    return f"_keep{i}"
+
+
 def read_names(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(row, name, label, own, trade, initial) and the columns to keep; name NULL where it is a stand-in."""
+    """(row, name, label, own, trade, initial) and the columns to keep as _keep0, ...; name NULL where it is a stand-in."""
     ship(df.sparkSession)
     src = df.select(
         F.col(row).cast("bigint").alias("row"), F.when(~stand_in(F.col(name)), F.col(name)).alias("name"),
-        site_label(domain).alias("label"), *keep,
+        site_label(domain).alias("label"), *[df[c].alias(_kept(i)) for i, c in enumerate(keep)],
     )
     read = src.withColumn("_r", F.arrow_udf(_read, _READ)("name"))
-    return read.select("row", "name", "label", "_r.own", "_r.trade", "_r.initial", *keep)
+    return read.select("row", "name", "label", "_r.own", "_r.trade", "_r.initial", *map(_kept, range(len(keep))))
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -301,7 +306,9 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     rest = alone.select("id").join(comp, "id", "left")
     rest = rest.select("id", F.concat(F.lit("f:"), F.coalesce("component", "id").cast("string")).alias("entity"))
     of_form = free.join(best.unionByName(rest), "id").select(*form, "entity")
-    out = ["row", "name", "entity", *keep]
+    if {"row", "name", "entity"} & set(keep):
+        raise ValueError("row, name and entity are the result's own columns")
+    out = ["row", "name", "entity", *[F.col(_kept(i)).alias(c) for i, c in enumerate(keep)]]
     with_site = rows.filter("label IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("label"))).select(*out)
     without = rows.filter(F.col("label").isNull() & has_own).join(of_form, form).select(*out)
     return with_site.unionByName(without)
