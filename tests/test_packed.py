@@ -124,3 +124,20 @@ def test_notes_against_every_separator(spark, sf):
     for k, s in notes.items():
         assert got[k] in [scan(s, "notes", sep) for sep in ("\n", "||", "|", ";")]
         assert not any(re.search(r"[|;]\s*[a-z_]+=", x) for x in got[k])
+
+
+def test_very_long_strings(spark):
+    """Patterns must not recurse by the length of a string."""
+    n = 40_000
+    rows = [
+        (1, f"{K}" + "a; b | c " * n), (2, '"' + 'x ""y"" | ' * n + '" | a=1'), (3, "word; " * n + "| a=1"), (4, f' || {K}x' * n), (5, '"' * (2 * n + 1)),
+        (6, "| " * n), (7, "y" * (10 * n)),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, v string")
+    for style in ("tokens", "evidence", "notes"):
+        got = {r.row_id: r.n for r in split_packed(df, "v", "id", style).groupBy("row_id").count().withColumnRenamed("count", "n").collect()}
+        assert got[7] == 1 and 6 not in got
+        if style == "evidence":
+            assert got[1] == 1 and got[4] == n
+        if style == "notes":
+            assert got[2] == 2 and got[3] == 2
