@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from orgweave.llm.components import components
 from orgweave.shipping import ship
 from orgweave.staging import stage
 
-SUFFIX, COMMON, RATIO = 8, 500, 0.85
+#: Letters of the shortest suffix; a key is common where more pairs than in a block of COMMON forms meet.
+SUFFIX, COMMON, RATIO = 4, 500, 0.85
 
 # Ways to write that there is no value.
 STAND_INS = ("", "-", "--", "n/a", "na", "none", "null", "unknown", "tbd", "tba", "coming soon", "not available", "?")
@@ -146,6 +148,24 @@ def _read(names: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(cols, names=["own", "trade", "initial"])
 
 
+_PLACES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: 52 + i for i, c in enumerate("0123456789")}
+
+
+def bag(own: str) -> int:
+    """A bit for each letter and digit, and one for each letter that stands twice or more. Two words differ
+    in no more bits than letters have to be taken out of both to make them equal."""
+    got = 0
+    for c in own:
+        k = _PLACES.get(c)
+        if k is not None:
+            got |= 1 << (k + 26 if k < 26 and got >> k & 1 else k)
+    return got
+
+
+def _bags(own: pa.Array) -> pa.Array:
+    return pa.array([bag(x) for x in own.to_pylist()], pa.int64())
+
+
 def _kept(i: int) -> str:
     """Name under which a column to keep passes, whatever its own."""
     return f"_keep{i}"
@@ -228,39 +248,90 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[: n - 4], pa.array(score)], names=[*b.schema.names[: n - 4], "score"])
 
 
-def _index(forms: DataFrame) -> DataFrame:
-    """forms, one row for each word and site label, with its suffix."""
+def _open(forms: DataFrame, first: bool) -> DataFrame:
+    """forms, one row for each key: the shortest suffix of a word or site label, with a trade.
+
+    Trades are part of the key, as only forms whose trades don't exclude each other are compared: ``first``
+    forms that state one meet seconds that state the same, and seconds that state none (S); first forms that
+    state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides.
+    """
     words = F.filter(F.split("own", r"\|"), lambda w: F.length(w) > 2)
     if "label" in forms.columns:
         words = F.array_distinct(F.concat(words, F.array("label")))
-    return forms.withColumn("word", F.explode(words)).withColumn("suffix", F.right("word", F.lit(SUFFIX)))
-
-
-def _refine(index: DataFrame, common: DataFrame | None) -> DataFrame:
-    """The index with each common suffix replaced by the whole word and how the other words begin."""
-    if common is None:
-        return index.drop("word")
-    got = index.join(common, "suffix", "left")
-    others = F.filter(F.split("own", r"\|"), lambda w: w != F.col("word"))
-    tails = F.when(F.size(others) == 0, F.array(F.lit(""))).otherwise(F.transform(others, lambda w: F.substring(w, 1, 3)))
-    keys = F.when(F.col("_common"), F.transform(tails, lambda t: F.concat_ws("|", "word", t))).otherwise(F.array("suffix"))
-    return got.withColumn("suffix", F.explode(F.array_distinct(keys))).drop("_common", "word")
-
-
-def _match(a: DataFrame, b: DataFrame, a_id: str, b_cols: list[str], when: Column | None = None) -> DataFrame:
-    """Candidate pairs of one block whose trades don't exclude each other, with their LCS ratio >= RATIO."""
-    ta, tb = F.split("trade", r"\|"), F.split("trade_b", r"\|")
+    none, some = ([F.lit("U")], [F.lit("S")]) if first else ([F.lit("S"), F.lit("U")], [F.lit("U")])
+    trades, bare = F.split("trade", r"\|"), F.col("initial") == ""
+    kinds = F.when(F.col("trade") == "", F.when(bare, F.array(*none)).otherwise(F.array().cast("array<string>")))
+    kinds = kinds.otherwise(F.when(bare, F.concat(trades, F.array(*some))).otherwise(trades))
+    rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
+    rows = rows.select(
+        "id", "own", "bag", "letters", bare.alias("bare"), "word", "kind", F.least(F.lit(SUFFIX), F.length("word")).alias("size"),
+        F.lit("").alias("tail"),
+    )
+    return _keyed(rows)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("suffix", F.xxhash64("kind", F.expr("right(word, size)"), "tail"))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows of common keys, each replaced by keys of longer suffixes, and by keys of the same suffix
+    with the beginning or end of another word. A whole word with a common tail stays: its block is compared
+    as a whole."""
+    size, longer = F.col("size"), F.col("size") < F.length("word")
+    own = F.split("own", r"\|")
+    others = F.filter(own, lambda w: w != F.col("word"))
+    rest = F.length(F.array_join(others, ""))
+    # a form of one word, or nearly, may be written as two elsewhere
+    heads = F.when(rest * RATIO <= F.length("word") * 2 * (1 - RATIO), F.concat(others, F.array("word"))).otherwise(others)
+    tails = F.concat(
+        F.transform(heads, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 3))),
+        F.transform(others, lambda w: F.concat(F.lit(">"), F.right(w, F.lit(SUFFIX)))),
+    )
+    key = lambda size, tail, fresh: F.struct(size.alias("size"), tail.alias("tail"), F.lit(fresh).alias("fresh"))
+    none = F.array().cast("array<struct<size:int,tail:string,fresh:boolean>>")
+    grown = F.when(longer, F.array(key(size + 1, F.col("tail"), True)))
+    plain = F.concat(F.coalesce(grown, none), F.transform(F.array_distinct(tails), lambda t: key(size, t, True)))
+    keys = F.when(F.col("tail") == "", plain).otherwise(F.coalesce(grown, F.array(key(size, F.col("tail"), False))))
+    got = rows.withColumn("_k", F.explode(keys)).drop("size", "tail", "fresh", "suffix")
+    return _keyed(got.select("*", "_k.size", "_k.tail", "_k.fresh").drop("_k"))
+
+
+def _index(free: DataFrame, sited: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys of the forms without a site as first and second of a pair, and of the sited as second."""
+    now = [_open(free, True), _open(free, False), _open(sited, False)]
+    done: list[list[DataFrame]] = [[], [], []]
+    while True:
+        count = lambda df, n: df.groupBy("suffix").agg(F.count(F.lit(1)).alias(n))
+        common = count(now[0], "a").join(count(now[1].select("suffix").unionByName(now[2].select("suffix")), "b"), "suffix")
+        common = stage(common.filter(F.col("a") * F.col("b") > COMMON * COMMON / 4).select("suffix"), "common")
+        last = common.isEmpty()
+        for i, rows in enumerate(now):
+            done[i].append(rows if last else rows.join(common, "suffix", "left_anti"))
+            if not last:
+                parts = stage(_split(rows.join(common, "suffix")), "split")
+                done[i].append(parts.filter("NOT fresh"))
+                now[i] = parts.filter("fresh")
+        if last:
+            return tuple(reduce(DataFrame.unionByName, (x.select("suffix", "id", "bag", "letters", "bare") for x in d)) for d in done)
+
+
+def _match(a: DataFrame, b: DataFrame, forms_a: DataFrame, forms_b: DataFrame, later: bool = False) -> DataFrame:
+    """(id, id_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO."""
+    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare")])
+    total = F.col("letters") + F.col("letters_b")
+    # letters that one of them lacks are lost to the subsequence; of words with an initial only a part is compared
+    near = F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_b"))) <= total * (1 - RATIO) + 1e-6
+    pairs = a.join(b, "suffix").filter(near | ~F.col("bare") | ~F.col("bare_b"))
+    if later:
+        pairs = pairs.filter("id < id_b")
+    pairs = pairs.select("id", "id_b").distinct()
+    named = lambda df, x: df.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in ("own", "trade", "initial")])
+    pairs = pairs.join(named(forms_a, ""), "id").join(named(forms_b, "_b"), "id_b")
     same = (F.col("trade") != "") & (F.col("trade_b") != "")
-    pairs = a.join(b, "suffix").filter(~same | F.arrays_overlap(ta, tb))
-    if when is not None:
-        pairs = pairs.filter(when)
-    # an initial is little to go by: the trade must be stated on both sides
-    pairs = pairs.filter(same | ((F.col("initial") == "") & (F.col("initial_b") == "")))
-    pairs = pairs.select(
-        a_id, *b_cols, same.alias("stated"), "own", "initial", F.col("own_b"), F.col("initial_b")
-    ).distinct()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields[:-4]) + ", score double"
-    return pairs.mapInArrow(_ratios, schema).filter(F.col("score") >= RATIO)
+    pairs = pairs.filter(~same | F.arrays_overlap(F.split("trade", r"\|"), F.split("trade_b", r"\|")))  # keys are hashes
+    pairs = pairs.select("id", "id_b", same.alias("stated"), "own", "initial", "own_b", "initial_b")
+    return pairs.mapInArrow(_ratios, "id bigint, id_b bigint, stated boolean, score double").filter(F.col("score") >= RATIO)
 
 
 def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -273,38 +344,33 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     sited = rows.filter("label IS NOT NULL").select(
         "label", F.when(has_own, F.col("own")).otherwise(F.col("label")).alias("own"), "trade", "initial"
     )
-    sited = sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n"))
+    measured = lambda df: df.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn(
+        "letters", F.length(F.regexp_replace("own", r"\|", ""))
+    )
+    sited = sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
+    sited = stage(measured(sited), "sited")
     free = rows.filter(F.col("label").isNull() & has_own).groupBy(*form).agg(F.min("row").alias("id"))
-    free = stage(free, "free")
-    # only suffixes of forms without a site are looked up, so only theirs are counted and kept
-    free_w = _index(free)
-    wanted = free_w.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_free"))
-    sited_w = stage(_index(sited).join(wanted, "suffix"), "sited")
-    counted = sited_w.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_sited"), F.first("n_free").alias("n_free"))
-    counted = counted.unionByName(wanted.select("suffix", F.lit(0).cast("bigint").alias("n_sited"), "n_free"))
-    common = counted.filter(F.col("n_free") + F.col("n_sited") > COMMON).select("suffix").distinct()
-    common = stage(common.withColumn("_common", F.lit(True)), "common")
-    common = None if common.isEmpty() else common
-    sited_i, free_i = _refine(sited_w.drop("n_free"), common), _refine(free_w, common)
-    rename = {"own": "own_b", "trade": "trade_b", "initial": "initial_b"}
-    to_site = _match(free_i, sited_i.withColumnsRenamed(rename), "id", ["label", "n"])
-    fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "label")).alias("m")
-    best = to_site.groupBy("id").agg(fit)
-    best = stage(best.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity")), "sites")
+    free = stage(measured(free), "free")
+    first, second, with_label = _index(free, sited)
+
+    def to_site(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+        fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "home")).alias("m")
+        return pairs.join(homes.withColumnRenamed("id", "id_b"), "id_b").groupBy("id").agg(fit).select("id", F.col("m.home").alias("home"))
+
+    homes = sited.select("id", F.col("label").alias("home"), "n")
+    best = stage(to_site(_match(first, with_label, free, sited), homes), "sites")
     # a form may fit the site only by way of another form without a site that fits it
-    via = _refine(_index(free.join(best, "id").select(*form, F.substring("entity", 3, 1 << 20).alias("home"))), common)
-    via = via.withColumnsRenamed(rename | {"home": "label"}).withColumn("n", F.lit(0).cast("bigint"))
-    second = _match(_refine(_index(free.join(best, "id", "left_anti")), common), via, "id", ["label", "n"]).groupBy("id").agg(fit)
-    second = second.select("id", F.concat(F.lit("s:"), F.col("m.label")).alias("entity"))
-    best = stage(best.unionByName(second), "sites")
-    alone = stage(free.join(best, "id", "left_anti"), "alone")
-    alone_i = _refine(_index(alone), common)
-    other = alone_i.select("suffix", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in form])
+    open_, via = first.join(best, "id", "left_anti"), second.join(best, "id", "left_semi")
+    via = to_site(_match(open_, via, free, free), best.withColumn("n", F.lit(0)))
+    best = stage(best.unionByName(via), "sites")
+    alone = stage(free.select("id", *form).join(best, "id", "left_anti"), "alone")
     # within a block each form is held against later ones only
-    twos = _match(alone_i, other, "id", ["id_b"], F.col("id") < F.col("id_b")).select("id", "id_b")
+    left = [x.join(best, "id", "left_anti") for x in (first, second)]
+    twos = _match(*left, alone, alone, later=True).select("id", "id_b")
     comp = components(twos, "id", "id_b")
     rest = alone.select("id").join(comp, "id", "left")
     rest = rest.select("id", F.concat(F.lit("f:"), F.coalesce("component", "id").cast("string")).alias("entity"))
+    best = best.select("id", F.concat(F.lit("s:"), "home").alias("entity"))
     of_form = free.join(best.unionByName(rest), "id").select(*form, "entity")
     if {"row", "name", "entity"} & set(keep):
         raise ValueError("row, name and entity are the result's own columns")
