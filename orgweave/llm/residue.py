@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE, NOTICE, MESSAGE, FILLER, PLACEHOLDER = 0, 1, 2, 3, 4
-#: Lines of more characters are paragraphs: neither messages nor parts of a frame.
+#: Lines of more characters are paragraphs, searched and weighed sentence by sentence.
 LONG = 240
 
 # Small notices that stand beside real text.
@@ -76,7 +76,7 @@ _SUBJECT = re.compile(
 _BEFORE, _AFTER = 20, 12
 #: A line without any of these literals can't match: one pass of an automaton, or of ``in``, decides.
 _LITERALS = (
-    "javascript", "denied", "blocked by", "forbidden", "permission", "authoris", "authoriz", "too many", "limit exceeded", "suspended",
+    "javascript", "denied", "was blocked", "forbidden", "permission", "authoris", "authoriz", "too many", "limit exceeded", "suspended",
     "your region", "your country", "log in to", "sign in to", "error", "be found", "looking for", "t find", "this address", "not found",
     "existe", "introuvable", "gefunden", "encontr", "resource", "unavailable", "timed out", "time-out", "timeout", "bad gateway",
     "unexpected condition", "difficulties", "database connection", "traceback", "exception", "warning:", "stack trace", "on line ",
@@ -88,6 +88,8 @@ _LITERALS = (
 )
 _MARKS = ("{", "[", "@@", "%%", "*|", "__", "%s", "undefined", "NaN", "null", "YOUR ", "XX", "<")
 _CODE = re.compile(r"%[A-Z(]|#[A-Z]")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_CODED = re.compile(r"(?:^|[.!?…]\s+)[45]\d\d\b")
 
 try:
     import ahocorasick
@@ -116,11 +118,8 @@ def _unfilled(text: str) -> bool:
     return False
 
 
-def evidence(text: str) -> int:
-    """Kind of residue in a line (a placeholder in angle brackets must not have been stripped), 0 for none."""
-    if (any(m in text for m in _MARKS) or _CODE.search(text)) and _unfilled(text):
-        return PLACEHOLDER
-    if len(text) > LONG or not (text[:1] in "45" or _hinted(text.lower())) or _SUBJECT.search(text):
+def _kind(text: str) -> int:
+    if not (text[:1] in "45" or _hinted(text.lower())) or _SUBJECT.search(text):
         return NONE
     if _NOTICE.search(text):
         return NOTICE
@@ -129,6 +128,35 @@ def evidence(text: str) -> int:
     return FILLER if _FILLER.search(text) else NONE
 
 
+def weighed(text: str) -> tuple[int, int, int]:
+    """(kind, size, weight) of a line: the kind of residue (a placeholder in angle brackets must not have been
+    stripped), the characters that show it, those of running text beside them."""
+    if (any(m in text for m in _MARKS) or _CODE.search(text)) and _unfilled(text):
+        return PLACEHOLDER, len(text), weight(text)
+    if len(text) <= LONG:
+        kind = _kind(text)
+        return kind, len(text), 0 if kind in (MESSAGE, FILLER) else weight(text)
+    if not _hinted(text.lower()) and not _CODED.search(text):
+        return NONE, len(text), weight(text)
+    sizes = {MESSAGE: 0, FILLER: 0}
+    filler = False
+    for s in _SENTENCE.split(text):
+        kind = _kind(s)
+        # what follows lorem ipsum in its line belongs to it
+        filler = filler or "lorem ipsum" in s.lower() and kind == FILLER
+        if filler or kind in sizes:
+            sizes[FILLER if filler else kind] += len(s)
+    bad = sum(sizes.values())
+    if not bad:
+        return NONE, len(text), weight(text)
+    return max(sizes, key=sizes.get), bad, len(text) - bad
+
+
+def evidence(text: str) -> int:
+    """Kind of residue in a line, 0 for none."""
+    return weighed(text)[0]
+
+
 def weight(text: str) -> int:
     """Characters of running text; headings and labels, short and without a full stop, weigh nothing."""
     return len(text) if len(text) > 80 or text[-1:] in ".!?…”\"" else 0
@@ -139,7 +167,7 @@ RESIDUE = 0.5
 
 
 def residue_pages(lines: DataFrame) -> DataFrame:
-    """Pages to exclude, from their main lines (page_id, size, weight, kind).
+    """Pages to exclude, from their main lines (page_id, size, weight, kind); weight is beside what shows residue.
 
     A page goes when a placeholder was left unfilled, or when messages and filler make at least
     ``RESIDUE`` of its running text. The frame of the site has been taken off before.
@@ -147,7 +175,7 @@ def residue_pages(lines: DataFrame) -> DataFrame:
     is_bad = F.col("kind").isin(MESSAGE, FILLER)
     per = lines.groupBy("page_id").agg(
         F.sum(F.when(is_bad, F.col("size")).otherwise(0)).alias("bad"),
-        F.sum(F.when(is_bad, 0).otherwise(F.col("weight"))).alias("good"),
+        F.sum("weight").alias("good"),
         F.max(F.col("kind") == PLACEHOLDER).alias("unfilled"),
         F.max(F.col("kind") == MESSAGE).alias("message"), F.max(F.col("kind") == FILLER).alias("filler"),
     )

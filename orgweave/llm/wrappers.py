@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions.urls import root_domain
-from orgweave.llm.residue import LONG, NOTICE, evidence, weight
+from orgweave.llm.residue import LONG, NOTICE, weighed
 from orgweave.shipping import ship
 from orgweave.staging import stage
 
@@ -136,6 +136,11 @@ def templates(text: str) -> tuple[int, int]:
     return (zlib.crc32(fine.encode()) << 8 | len(words) & 255, 1 << 40 | zlib.crc32(coarse.encode()))
 
 
+def _judged(text: str) -> tuple[int, ...]:
+    """Templates a line is judged by; how a long line begins says nothing of the rest."""
+    return templates(text)[:1] if len(text) > LONG else templates(text)
+
+
 def _trail(text: str) -> str | None:
     """First part of a menu or trail on one line: at least two short parts, no sentence."""
     if len(text) > 160:
@@ -184,9 +189,7 @@ def _rows(site_pages: list[tuple], out: dict[str, list]) -> None:
     if n >= TEACHER:
         stats: dict[int, list] = {}
         for t, c in w.count.items():
-            if len(t) > LONG:
-                continue
-            cache[t] = templates(t)
+            cache[t] = _judged(t)
             for h in cache[t]:
                 s = stats.setdefault(h, [0.0, 0])
                 s[0] += c / n
@@ -205,7 +208,8 @@ def _rows(site_pages: list[tuple], out: dict[str, list]) -> None:
         for no, t, token, frame, inside in lines:
             ev = evs.get(t)
             if ev is None:
-                ev = evs[t] = evidence(t)
+                ev = evs[t] = weighed(t)
+            ev, size, beside = ev
             c = w.count[token]
             share = c / n
             if ev == NOTICE:  # a notice beside the text
@@ -218,8 +222,6 @@ def _rows(site_pages: list[tuple], out: dict[str, list]) -> None:
                 state = MAIN
             elif n >= LARGE and share >= SURE:
                 continue
-            elif len(t) > LONG:
-                state = MAIN
             elif n >= 4:
                 state = LEAN_BOILER if c >= 2 and share >= SHARE else LEAN_MAIN
             elif framed:
@@ -233,16 +235,16 @@ def _rows(site_pages: list[tuple], out: dict[str, list]) -> None:
             elif state >= LEAN_MAIN:
                 got = cache.get(token)
                 if got is None:
-                    got = cache[token] = templates(token)
-                fine, coarse = got
+                    got = cache[token] = _judged(token)
+                fine, coarse = got if len(got) > 1 else (got[0], None)
             out["page_id"].append(page_id)
             out["line_no"].append(no)
             out["state"].append(state)
-            out["size"].append(len(t))
+            out["size"].append(size)
             out["kind"].append(ev)
             out["fine"].append(fine)
             out["coarse"].append(coarse)
-            out["weight"].append(weight(t))
+            out["weight"].append(beside)
             out["share"].append(None)
 
 

@@ -86,3 +86,15 @@ def test_evidence():
         "If a site shows nothing without scripts, our reader sees an empty grid.",
     ):
         assert e(text) == R.NONE, text
+
+
+def test_long_lines_are_searched_and_judged(spark):
+    talk = "Our team of Elm wrote about the matter at length and with care for each reader of it. "
+    assert R.evidence("Lorem ipsum dolor sit amet. " + "Consectetur adipiscing elit sed do eiusmod. " * 8) == R.FILLER
+    assert R.evidence(talk * 4 + "The request was blocked.") == R.MESSAGE and R.evidence("Sorry, your request was blocked") == R.MESSAGE
+    assert R.evidence(talk * 4) == R.NONE
+    cookie = "We and our partners keep small files on your device to measure visits and to show what you may like. " * 3
+    rows = [page(i, [cookie, *b]) for i, b in enumerate(BODIES[:6])]
+    rows += [page(70, ["Lorem ipsum dolor sit amet. " + "Consectetur adipiscing elit sed do eiusmod. " * 8]), page(71, [talk * 8 + "The request was blocked."])]
+    got, bad = lines_of(spark, rows)
+    assert bad == {70} and all(got[i] == {5, 6} for i in range(6)) and got[71] == {4}
