@@ -32,3 +32,12 @@ def salted_join(
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     rgt = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+    """left join right on keys, right being small beside left with at most one row a key: right is repeated ``salts``
+    times and every left key spread over as many partitions. No count is needed first; AQE splits what is still hot.
+    Left rows with a NULL key match nothing and are spread too."""
+    lft = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    rgt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")
