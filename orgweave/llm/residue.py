@@ -1,155 +1,293 @@
-"""Template residue and error-page text: what kind of evidence a line holds, and which pages it rules out."""
+"""Template residue and error-page text: what a line shows, and which pages it rules out.
+
+Lines are counted by host in normalised form (case, digits and marks taken off) where the host's expression is
+inferred; what recurs there is boilerplate. The residual is searched sentence by sentence with a small grammar of
+word classes instead of fixed messages:
+
+* message      something of the page (THING) in a state of failure (FAIL), a demand for scripts, cookies, a
+               sign-in or a human, a status line, or the trace of a program
+* filler       Latin dummy text by its share of words, words or sentences said again and again, and an order to
+               the author (EDIT) about the text that is to stand there (CONTENT)
+* placeholder  template syntax, or a value no template meant to show
+
+A sentence that *mentions* such a thing is no evidence: the thing is indefinite or plural ("a page", "its pages",
+"error pages"), stands in a conditional about others, is an example ("such as"), a named kind of syntax ("the
+{{x}} token"), or is quoted. Classes hold words of English, French, German and Spanish.
+
+Defined results: lines and texts of any length are searched whole; NULL and empty texts have no lines.
+"""
 
 from __future__ import annotations
 
 import re
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NONE, NOTICE, MESSAGE, FILLER, PLACEHOLDER = 0, 1, 2, 3, 4
-#: Lines of more characters are paragraphs, searched and weighed sentence by sentence.
-LONG = 240
+from orgweave.operators.skew import spread_join
 
-# Small notices that stand beside real text.
-_NOTICE = re.compile(
-    r"^(?:please )?(?:enable|turn on|activate) javascript for the \w+ \w+\W*$|^some features (?:need|require) javascript\W*$", re.I
-)
-_MESSAGE = re.compile(
+NONE, MESSAGE, FILLER, PLACEHOLDER = 0, 2, 3, 4
+
+
+def _any(*words: str) -> str:
+    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+
+
+# Things of a page that can fail, in the singular.
+THING = _any(
+    "page", "site", "webpage", "url", "link", "address", "resource", "request", "requests", "account", "server", "service", "content", "document",
+    "file", "folder", "directory", "connection", "gateway", "domain(?: name)?", "browser", "application", "app", "host", "access", "session",
+    "article", "product", "profile", "database", "bandwidth", "what you",
+    "(?:web)?seite", "website", "adresse", "inhalt", "anfrage", "dienst", "konto", "zugriff", "verbindung", "datei", "browser", "server",
+    "contenu", "ressource", "requ[êe]te", "compte", "acc[èe]s", "connexion", "serveur", "fichier", "navigateur", "domaine", "lien",
+    "p[áa]gina", "sitio", "direcci[óo]n", "contenido", "recurso", "solicitud", "servicio", "cuenta", "acceso", "conexi[óo]n", "servidor",
+    "archivo", "navegador", "dominio", "enlace",
+)
+# States of failure.
+FAIL = _any(
+    "not (?:be )?found", "(?:can.?t|cannot|can not|could(?: not|n.t)|unable to|failed to) (?:\\w+ ){0,2}?(?:find|found|reach|reached|load|loaded|display|displayed|"
+    "connect|process|processed|open|opened|finish|complete|completed|access|locate|located|serve|served)", "no longer (?:\\w+ )?(?:exists?|available|here)",
+    "(?:does(?: not|n.t)|never|do not) exist(?:ed)?", "not (?:currently |yet |publicly )?(?:available|accessible|published|allowed|permitted|authori[sz]ed)",
+    "unavailable", "denied", "forbidden", "refused", "rejected", "blocked", "suspended", "disabled", "expired", "parked", "for sale", "timed out",
+    "time-?out", "too many", "(?:limit|quota) (?:exceeded|reached)", "out of date", "not supported", "(?:has|have|was) (?:been )?(?:moved|removed|renamed|deleted)",
+    "went wrong", "technical (?:difficulties|problems?|issues?)", "(?:unexpected|internal|fatal) (?:\\w+ )?(?:condition|error)", "down for maintenance",
+    "under (?:construction|maintenance)", "don.t have permission", "nothing (?:\\w+ )?(?:lives|exists|found|here|at this)", "bad (?:gateway|request)",
+    "nicht (?:mehr )?(?:gefunden|verf[üu]gbar|erreichbar|erlaubt|geladen|existier\\w+)", "existiert nicht", "verweigert", "gesperrt", "abgelaufen", "im aufbau",
+    "wartungsarbeiten", "fehlgeschlagen", "zu verkaufen", "steht zum verkauf", "introuvable", "n.existe (?:plus|pas)", "(?:n.a )?pas (?:[ée]t[ée] )?trouv[ée]+", "n.est (?:plus|pas) (?:disponible|accessible)",
+    "indisponible", "refus[ée]e?", "interdit", "suspendue?", "expir[ée]e?", "en (?:construction|maintenance)", "[àa] vendre",
+    "no (?:se )?(?:ha |pudo )?(?:sido )?(?:encontr\\w+|cargar)", "no existe", "no (?:est[áa] )?disponible", "denegad[oa]", "prohibid[oa]", "suspendid[oa]",
+    "caducad[oa]", "en (?:construcci[óo]n|mantenimiento)", "en venta", "demasiadas",
+)
+SCRIPT = _any("javascript", "scripts?", "scripting", "cookies")
+ENABLE = _any(
+    "enabled?", "activated?", "turn(?:ed)? (?:it )?(?:on|off)", "switch(?:ed)? (?:it )?(?:on|off)", "disabled", "requires?", "required", "needs?", "must",
+    "unterst[üu]tz\\w+", "aktivier\\w+", "ben[öo]tigt?", "erforder\\w+", "einschalten", "deaktiviert", "activer", "activez", "n[ée]cessite", "requiert", "requise?",
+    "d[ée]sactiv[ée]e?", "active", "activar", "habilit\\w+", "requiere", "necesita", "necesari[oa]", "desactivad[oa]",
+)
+# A thing named so is meant in general or belongs to others.
+_VAGUE = r"(?:\b(?:an?|any|every|each|some|many|most|few|its|their|his|her|whose|no|one|old|other|ein|eine|einer|jede|jeder|viele|une?|des|chaque|leurs?|ses|una?|cada|sus?|muchas|muchos)\s+(?:\w+\s+){0,2})$"
+_POINTED = re.compile(r"\b(?:this|that|the requested|your|you|we|sorry|oops|please|diese[rsm]?|leider|bitte|sie|cette|cet|d[ée]sol[ée]e?|vous|veuillez|est[ea]|lo sentimos|por favor|error)\b", re.I)
+_OTHERS = re.compile(r"^(?:if|when|whenever|while|because|since|where|wenn|falls|weil|si|quand|lorsque|cuando|porque)\b", re.I)
+_YOU = re.compile(r"\b(?:you|your|sie|ihr\w*|vous|votre|usted|su|please|bitte)\b", re.I)
+_PEOPLE = re.compile(r"(?<=[a-zà-ÿ,:] )[A-Z][a-z]+ [A-Z][a-z]+")  # a name of two words inside the sentence
+#: A failure is said of a thing not far from it.
+_NEAR = 60
+_FAIL = re.compile(rf"\b{FAIL}(?!\w)", re.I)
+_THING = re.compile(rf"\b{THING}\b", re.I)
+_BARE = re.compile(r"^(?:this|it|that|that.s|it.s)\b", re.I)
+_SCRIPTED = re.compile(rf"\b{SCRIPT}\b[^.!?]{{0,{_NEAR}}}?\b{ENABLE}(?!\w)|\b{ENABLE}[^.!?]{{0,{_NEAR}}}?\b{SCRIPT}\b", re.I)
+# Demands, refusals and traces that name no failing thing.
+_PLAIN = re.compile(
     "|".join(
         (
-            # refusals and limits
-            r"^access (?:is |was )?denied|request was blocked|^forbidden\b|don.t have permission|not authori[sz]ed to",
-            r"^too many requests|rate limit exceeded|bandwidth limit exceeded|^account (?:is |has been )?suspended",
-            r"not available in your (?:region|country)|^(?:please )?(?:log|sign) in to (?:see|view|continue)",
-            # missing pages
-            r"^(?:error )?[45]\d\d\b\W+(?:.* )?(?:bad|forbidden|unauthori[sz]ed|not found|gone|conflict|error|gateway|unavailable|request|timeout|denied)\b",
-            r"^(?:oops\W+)?(?:that|this|the) page (?:can.?t|cannot|could not) be found",
-            r"page you (?:are|were) looking for|we couldn.t find (?:what|the page)|nothing lives at this address",
-            r"^(?:page )?not found\W*$|n.existe (?:plus|pas)|page introuvable|wurde (?:leider )?nicht gefunden|seite nicht gefunden",
-            r"^p[áa]gina no encontrada|no se (?:ha )?encontr[óa]do? la p[áa]gina|requested resource is (?:un|not )available",
-            # failures of the server
-            r"temporarily unavailable|timed out while|gateway time-?out|^bad gateway|internal server error|unexpected condition",
-            r"technical difficulties|establishing a database connection|^(?:fatal|parse|uncaught) error\b|^traceback \(most recent",
-            r"^\s*file \"[^\"]+\", line \d+|^\w*(?:error|exception): |^warning: \w+\(\)|^stack trace|on line \d+$",
-            # scripts and checks of the browser
-            r"(?:enable|activate|turn on) (?:javascript|scripts|cookies)\b.*(?:to|in)\b|requires? (?:javascript|scripts|cookies)\b",
-            r"javascript (?:is|must be) (?:disabled|required|enabled)|scripting switched off|^loading,? please wait",
-            r"(?:activ|habilit)\w* javascript|aktivier\w* (?:sie )?javascript|activez javascript|javascript aktivieren",
-            r"verify (?:that )?you are (?:a )?human|^checking your browser|just a moment\W*$",
-            # parked and unfinished sites
-            r"domain is (?:parked|for sale)|buy (?:this|it from the) (?:domain|registrar)|under construction|^coming soon\b",
-            r"site (?:is )?not (?:yet )?published|^default (?:web )?page|server is installed and working|^it works!?$",
+            r"^(?:error |http )?[45]\d\d\b(?:\W+|$)(?:.*\b(?:error|found|forbidden|unauthori[sz]ed|gone|gateway|unavailable|request|timeout|denied|introuvable|gefunden|encontrad\w)\b.*)?$",
+            r"^(?:page |seite |p[áa]gina )?(?:not found|nicht gefunden|no encontrad[oa]|introuvable)\W*$|^(?:access denied|forbidden|unauthori[sz]ed|bad gateway|coming soon)\b",
+            r"^(?:please )?(?:log|sign) ?in to (?:see|view|continue|access|read)\b",
+            r"\b(?:verify|confirm|prove|check)\w*\b.{0,30}\b(?:human|robot|browser)\b|\bcaptcha\b.{0,40}\b(?:complete|solve|below)|^just a moment\W*$|^(?:loading|please wait)(?:\W+(?:loading|please wait))?\W*$",
+            r"^(?:traceback \(most recent|stack trace)|^\s*file \"[^\"]+\", line \d+|^\w*(?:error|exception): |^(?:fatal|parse|syntax|uncaught) error\b|^warning: \w+\(|\bon line \d+$|\buncaught \w*error\b|^error (?:establishing|connecting|loading)\b",
+            r"\b(?:default|test) (?:web ?)?page\b.*\bserver\b|\bserver\b.*\b(?:installed|working|running)\b.*\b(?:default|page|successfully)\b|^it works!?$",
+            r"\bdomain\b.{0,40}\bregist(?:rar|ered|er)\b|\bbuy (?:this|the) domain\b",
         )
     ),
     re.I,
 )
-_FILLER = re.compile(
-    "|".join(
-        (
-            r"\blorem ipsum\b|\bdolor (?:sit )?amet\b|\beget lorem\b",
-            r"sample (?:paragraph|text|page)\b|replace it with your own|^click edit to|describe your service in",
-            r"^your (?:headline|text|title|name|company) here|text goes here|^(?:insert|add|enter) (?:your )?(?:text|title|content) here",
-            r"^(?:tbd|tba|tbc|xxx|todo)(?:\W+(?:tbd|tba|tbc|xxx|todo))+\W*$|\b(?:asdf|qwer\w*)\b.*\b(?:asdf|qwer\w*|test)\b",
-            r"\bblah blah\b|^welcome to your new (?:site|website|blog)|this is your first post",
-            r"^test(?: test)+\W*$|^placeholder\b",
-        )
-    ),
+# Latin dummy text, public since the typesetters' sheets.
+_LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis "
+    "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
+    "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum nunc eget vestibulum porta "
+    "nec vitae nibh eros lacus vel mauris donec pellentesque vivamus fusce cras integer praesent".split()
+)
+_LATIN_SURE = frozenset("lorem ipsum amet consectetur adipiscing eiusmod vestibulum nibh incididunt".split())
+CONTENT = _any("text", "paragraph", "headline", "heading", "title", "words", "content", "copy", "description", "post", "site", "website", "page", "service", "image", "caption", "sentences?", "bio", "tagline",
+               "texte", "titre", "contenu", "überschrift", "inhalt", "absatz", "texto", "t[íi]tulo", "contenido")
+_EDIT = r"(?:click|edit|replace|change|delete|insert|add|enter|type|write|describe|customi[sz]e|double-?click|cliquez|remplacez|modifiez|ajoutez|klicken|ersetzen|f[üu]gen|haga|reemplace|escriba|edite)"
+_ORDER = re.compile(
+    rf"^(?:please |then |or |to )?{_EDIT}\b(?=.*\b{CONTENT}\b)(?=.*\b(?:your|you|here|this|own|edit|ici|votre|hier|ihren?|aqu[íi]|su)\b)|^(?:your|the|add|some|ihre?|votre|su|tu) (?:\w+ )?{CONTENT} (?:goes |comes |here|hier|ici|aqu[íi])+(?:here)?\W*$"
+    rf"|^{CONTENT} (?:goes|comes) here\W*$|\b(?:sample|dummy|placeholder|example) {CONTENT}\W*$|\bthis is (?:a|your|the) (?:sample|dummy|placeholder|first|example|new) {CONTENT}\b|^welcome to your new {CONTENT}",
     re.I,
 )
+# Where an order to the author may begin.
+_ORDERED = re.compile(rf"(?:^|[.!?…]\s+|^[#*->•· ]+)(?:please |then |or |to )?{_EDIT}\b|(?:^|[.!?…]\s+)\w+ (?:\w+ )?(?:\w+ )?(?:here|hier|ici|aqu[íi])\W|\b(?:here|sample|dummy|placeholder|example|first|new)\b", re.I)
+_FIELD = "(?:name|company|client|customer|city|date|year|month|phone|title|address|e-?mail|state|street|service|brand|number|amount|price|url|website|location|role|position|testimonial|quote|text|headline|image|logo|industry|product|agency|author|business)"
 _PLACEHOLDER = re.compile(
     "|".join(
         (
             r"\{\{[^{}]{0,60}\}\}|\$\{[^{}]{1,60}\}|<%=?[^%]{0,60}%>|\{%[^%]{0,60}%\}|%%\w+%%|\*\|\w+\|\*|@@\w+@@|\[\[\w[^\]]{0,40}\]\]",
-            r"(?<![\w#])#[A-Z][A-Z_]+#|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|\{(?:[a-z]+(?:[_.][a-z]+)*|\d)\}|%[A-Z][A-Z_]+%|(?<=\s)%s(?!\w)|^%s ",
-            r"\[(?:insert|your|client|company|name|year|date|city|phone|title|address)\b[^\]]{0,40}\]|\[[A-Z]+ (?:NAME|HERE|TITLE)\]",
-            r"\bXX+(?:%|\b)|<(?:Your|Company|Client|First|Last|Insert) ?[A-Z]?\w*>|\{%\w\}",
-            r"\[object \w+\]|\bundefined\b|\bNaN\b|\bnull\b|\bYOUR (?:COMPANY|NAME|CITY|BRAND)\b",
+            r"(?<![\w#])#[A-Z][A-Z_]+#|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|\{(?:[A-Za-z]+(?:[_. ][A-Za-z]+)*|\d)\}|%[A-Z][A-Z_]+%|(?<=\s)%s(?!\w)|^%s |\{%\w\}",
+            rf"\[(?:insert\b[^\]]{{0,40}}|(?:(?:your|client|company|first|last|full|the|our|business|street|phone|contact|agency|job) )?{_FIELD}(?: (?:name|here|number|address|title))?)\]",
+            rf"\[(?:INSERT\b[^\]]{{0,40}}|[A-Z]+ (?:NAME|HERE|TITLE))\]|<(?:Your|Company|Client|First|Last|Insert) ?[A-Z]?\w*>|\bYOUR (?:COMPANY|NAME|CITY|BRAND)\b",
+            r"\bXX+(?:%|\b)|\[object \w+\]|\bundefined\b|\bNaN\b|\bnull\b(?! and void| hypothes| result)",
         )
-    )
-)
-#: Words of sentences that write about such things; what stands beside them is their subject.
-_SUBJECT = re.compile(
-    r"\b(?:merge tags?|placeholders?|dummy copy|error pages?|such as|sparingly|greeting that fails|without scripts|cookie notice)\b", re.I
+    ),
+    re.I,
 )
-#: Characters before and after a placeholder in which such words count.
-_BEFORE, _AFTER = 20, 12
-#: A line without any of these literals can't match: one pass of an automaton, or of ``in``, decides.
-_LITERALS = (
-    "javascript", "denied", "was blocked", "forbidden", "permission", "authoris", "authoriz", "too many", "limit exceeded", "suspended",
-    "your region", "your country", "log in to", "sign in to", "error", "be found", "looking for", "t find", "this address", "not found",
-    "existe", "introuvable", "gefunden", "encontr", "resource", "unavailable", "timed out", "time-out", "timeout", "bad gateway",
-    "unexpected condition", "difficulties", "database connection", "traceback", "exception", "warning:", "stack trace", "on line ",
-    "scripts", "cookies", "scripting", "loading", "human", "checking your", "a moment", "domain is", "registrar", "buy this",
-    "construction", "coming soon", "published", "default page", "default web", "server is installed", "it works", 'file "',
-    "lorem", "amet", "sample ", "replace it", "click edit", "describe your", "headline here", "your text", "your title", "your name",
-    "your company", "goes here", "text here", "title here", "content here", "tbd", "tba", "tbc", "xxx", "todo", "asdf", "qwer", "blah",
-    "your new ", "first post", "test test", "placeholder",
-)
-_MARKS = ("{", "[", "@@", "%%", "*|", "__", "%s", "undefined", "NaN", "null", "YOUR ", "XX", "<")
-_CODE = re.compile(r"%[A-Z(]|#[A-Z]")
+# Patterns above that mean something only as capitals or as written.
+_CASED = re.compile(r"^(?:XX+%?|#[A-Z_]+#|__[A-Z_]+__|%[A-Z_]+%|YOUR [A-Z]+|NaN|null|undefined|\[[^\]]+\]|<[A-Z]\w+ ?\w*>|[{$%*@<\[].*|%s ?)$")
+_SYNTAX = r"(?:tags?|tokens?|placeholders?|variables?|fields?|snippets?|syntax|codes?|strings?|merge \w+|templates?|marker|markers|shortcodes?)"
+_NAMED_BEFORE = re.compile(rf"\b{_SYNTAX}\b(?:\s+(?:such as|like|called|named|use[sd]?|using|contain\w*|with|of the form|hold|holds|need|needs|are|is|as))?[\s:,(\"'`]*$|[\"'`“]$|\b(?:such as|e\.g\.|for example)\s+\w*\s*[\"'`]?$", re.I)
+_NAMED_AFTER = re.compile(rf"^[\"'`”]?\s+{_SYNTAX}\b", re.I)
+_DETERMINED = re.compile(r"\b(?:the|an?|this|that|each|every|our|their|le|la|der|die|das|el)\s+[\"'`]?$", re.I)
+_GERMAN = re.compile(r"\b(?:der|die|das|und|mit|auf|für|wir|von|nicht)\b")
+
+# Literals of the classes above: a line without those of a class needn't be searched for it.
+_HINTS = {
+    1: (
+        "not found", "not be found", "can't", "can’t", "cannot", "can not", "couldn", "could not", "unable to", "failed to", "no longer", "exist", "available", "accessible", "not published", "not yet", "allowed",
+        "permi", "authori", "denied", "forbid", "refus", "reject", "blocked", "suspend", "disabled", "expir", "parked", "for sale", "timed out", "timeout", "time-out", "too many", "exceeded",
+        "quota", "limit reached", "out of date", "not supported", "moved", "renamed", "removed", "deleted", "went wrong", "technical", "unexpected", "internal", "fatal", "maintenance", "under construction", "en construc", "nothing ",
+        "bad gateway", "bad request", "gefunden", "verfügbar", "verfugbar", "erreichbar", "erlaubt", "geladen", "existier", "verweigert", "gesperrt", "abgelaufen", "im aufbau", "wartungs", "fehlgeschlagen",
+        "verkauf", "introuvable", "trouv", "indisponible", "interdit", "à vendre", "a vendre", "encontr", "cargar", "disponible", "denegad", "prohibid", "caducad", "manteni", "en venta", "demasiadas",
+        "maintenance", "publicly", "currently",
+    ),
+    2: ("javascript", "script", "cookies"),
+    4: (" here", " hier", " ici", " aquí", " aqui", "sample ", "dummy ", "placeholder", "example ", "this is a", "this is your", "this is the", "your new "),
+    32: (
+        "click", "edit", "replace", "change", "delete", "insert", "add ", "enter ", "type ", "write", "describe", "customi", "cliquez", "remplac", "modifi", "ajout", "klick", "ersetz", "füg", "fug",
+        "haga", "reempla", "escrib",
+    ),
+    64: (
+        "{", "[", "<", "@@", "%%", "*|", "__", "undefined", "nan", "null", "your company", "your name", "your city", "your brand", "xx", *[m + c for m in "%#" for c in "abcdefghijklmnopqrstuvwxyz"],
+    ),
+    8: (
+        "found", "gefunden", "encontrad", "introuvable", "access denied", "forbidden", "unauthor", "bad gateway", "coming soon", "log in", "sign in", "login", "human", "robot", "browser", "captcha",
+        "moment", "loading", *[e + c for e in (". ", "! ", "? ", "error ", "http ") for c in "45"], "please wait", "traceback", "stack trace", 'file "', "error", "exception", "warning:", "on line", "server", "it works", "domain",
+    ),
+    16: ("lorem", "ipsum", "amet", "consectetur", "adipiscing", "eiusmod", "vestibulum", "nibh", "incididunt"),
+}
+_MARKS = re.compile(r"[{\[<]|@@|%%|\*\||__|%s|%[A-Z]|#[A-Z]|undefined|NaN|null|YOUR |XX")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-_CODED = re.compile(r"(?:^|[.!?…]\s+)[45]\d\d\b")
+_WORD = re.compile(r"[a-zà-ÿ]+")
+_CODED = re.compile(r"(?:^|[.!?…]\s+)(?:error |http )?[45]\d\d\b", re.I)
+
+
+
+def _thrice(low: str) -> bool:
+    """A word stands three times running."""
+    words = low.split()
+    if True not in map(eq, words, words[1:]):
+        return False
+    return any(a == b == c.rstrip(".,!?…") for a, b, c in zip(words, words[1:], words[2:]) if len(a) > 1)
+
 
 try:
     import ahocorasick
 
     _AUTOMATON = ahocorasick.Automaton()
-    for _w in _LITERALS:
-        _AUTOMATON.add_word(_w, True)
+    for _bit, _words in _HINTS.items():
+        for _w in _words:
+            _AUTOMATON.add_word(_w, _bit | _AUTOMATON.get(_w, 0))
     _AUTOMATON.make_automaton()
 
-    def _hinted(low: str) -> bool:
-        return next(_AUTOMATON.iter(low), None) is not None
+    def _hints(low: str) -> int:
+        got = 0
+        for _, bit in _AUTOMATON.iter(low):
+            got |= bit
+        return got
 except ImportError:
 
-    def _hinted(low: str) -> bool:
-        return any(w in low for w in _LITERALS)
+    def _hints(low: str) -> int:
+        return sum(bit for bit, words in _HINTS.items() if any(w in low for w in words))
 
 
-def _unfilled(text: str) -> bool:
-    """Whether a placeholder stands in the text that no words near it make its subject."""
+def _unfilled(text: str, start: int) -> bool:
+    """Whether a placeholder beginning at or after ``start`` was left in the text, and isn't what it is about."""
     for m in _PLACEHOLDER.finditer(text):
-        if m.group().startswith("{{"):
-            if not _SUBJECT.search(text, max(0, m.start() - _BEFORE), m.end() + _AFTER):
-                return True
-        elif not text[: m.start()].endswith(("such as ", "like ", "e.g. ")):
+        if m.end() <= start or not _CASED.match(m.group()):
+            continue
+        before, after = text[: m.start()], text[m.end() :]
+        if m.group() in ("null", "undefined") and _GERMAN.search(text):
+            continue
+        if _NAMED_BEFORE.search(before) or (_NAMED_AFTER.match(after) and _DETERMINED.search(before)):
+            continue
+        return True
+    return False
+
+
+def _vague(sentence: str, at: int) -> bool:
+    return re.search(_VAGUE, sentence[:at], re.I) is not None
+
+
+#: Characters of a sentence that belongs to the message it stands beside.
+BESIDE = 80
+
+
+def _failed(s: str) -> bool:
+    """A thing of the page is said to have failed."""
+    for m in _FAIL.finditer(s):
+        left = s[max(0, m.start() - _NEAR) : m.start()]
+        things = list(_THING.finditer(left))
+        if things:
+            vague = _vague(left, things[-1].start())
+        else:
+            t = _THING.search(s, m.end(), m.end() + _NEAR)
+            if t is None and not (_BARE.match(s) and m.start() < 24):
+                continue
+            vague = t is not None and _vague(s[m.end() :], t.start() - m.end())
+        if vague or (_PEOPLE.search(s) and not _POINTED.search(s)):
+            continue
+        # a short remark, or one that points at what the visitor asked for
+        if len(s) <= 80 or _POINTED.search(s):
             return True
     return False
 
 
-def _kind(text: str) -> int:
-    if not (text[:1] in "45" or _hinted(text.lower())) or _SUBJECT.search(text):
-        return NONE
-    if _NOTICE.search(text):
-        return NOTICE
-    if _MESSAGE.search(text):
-        return MESSAGE
-    return FILLER if _FILLER.search(text) else NONE
-
-
-def weighed(text: str) -> tuple[int, int, int]:
-    """(kind, size, weight) of a line: the kind of residue (a placeholder in angle brackets must not have been
-    stripped), the characters that show it, those of running text beside them."""
-    if (any(m in text for m in _MARKS) or _CODE.search(text)) and _unfilled(text):
-        return PLACEHOLDER, len(text), weight(text)
-    if len(text) <= LONG:
-        kind = _kind(text)
-        return kind, len(text), 0 if kind in (MESSAGE, FILLER) else weight(text)
-    if not _hinted(text.lower()) and not _CODED.search(text):
+def _message(s: str, hints: int) -> bool:
+    """Whether a sentence is a message to the visitor, not about one."""
+    s = s.strip().lstrip("#*->•· ")
+    if (hints & 8 or s[:1] in "45") and _PLAIN.search(s):
+        return True
+    if _OTHERS.match(s) and not _YOU.search(s):
+        return False
+    if hints & 2:
+        m = _SCRIPTED.search(s)
+        if m and (len(s) <= 40 or not _vague(s, m.start())) and (not _PEOPLE.search(s) or _POINTED.search(s)):
+            return True
+    return bool(hints & 1) and _failed(s)
+
+
+def _filler(s: str, hints: int) -> bool:
+    if hints & 16:
+        words = _WORD.findall(s.lower())
+        if sum(w in _LATIN for w in words) * 2 >= len(words):
+            return True
+    return _thrice(s.lower()) or (bool(hints & 36) and _ORDER.search(s.strip()) is not None)
+
+
+def weighed(text: str, before: str = "") -> tuple[int, int, int]:
+    """(kind, size, weight) of a line: the kind of residue, the characters that show it, those of running text
+    beside them. ``before`` is the line this one goes on from, where a sentence was wrapped; it only helps to
+    tell what is mentioned."""
+    low = text.lower()
+    hints = _hints(low)
+    if hints & 64 and _MARKS.search(text):
+        lead = before[-60:] + " " if before else ""
+        if _unfilled(lead + text, len(lead)):
+            return PLACEHOLDER, len(text), weight(text)
+    if not hints & 27 and text[:1] not in "45" and not (hints & 36 and _ORDERED.search(text)) and not _thrice(low):
         return NONE, len(text), weight(text)
-    sizes = {MESSAGE: 0, FILLER: 0}
-    filler = False
-    for s in _SENTENCE.split(text):
-        kind = _kind(s)
+    kinds = []
+    latin = False
+    sentences = _SENTENCE.split(text)
+    for k, s in enumerate(sentences):
+        whole = before[-60:] + " " + s if k == 0 and before else s
+        hints = _hints(whole.lower()) if len(sentences) > 1 or before else hints
         # what follows lorem ipsum in its line belongs to it
-        filler = filler or "lorem ipsum" in s.lower() and kind == FILLER
-        if filler or kind in sizes:
-            sizes[FILLER if filler else kind] += len(s)
+        latin = latin or "lorem ipsum" in s.lower()
+        kinds.append(FILLER if latin else MESSAGE if _message(whole, hints) else FILLER if _filler(whole, hints) else NONE)
+    sizes = {MESSAGE: 0, FILLER: 0}
+    for k, s in enumerate(sentences):
+        kind = kinds[k]
+        if not kind and len(s) <= BESIDE:  # a greeting before it, what to do now after it
+            kind = max(kinds[max(k - 2, 0) : k + 2])
+        if kind:
+            sizes[kind] += len(s)
     bad = sum(sizes.values())
     if not bad:
         return NONE, len(text), weight(text)
-    return max(sizes, key=sizes.get), bad, len(text) - bad
+    rest = len(text) - bad - (len(sentences) - 1)
+    return max(sizes, key=sizes.get), bad, rest if rest > 20 else 0
 
 
 def evidence(text: str) -> int:
@@ -159,7 +297,7 @@ def evidence(text: str) -> int:
 
 def weight(text: str) -> int:
     """Characters of running text; headings and labels, short and without a full stop, weigh nothing."""
-    return len(text) if len(text) > 80 or text[-1:] in ".!?…”\"" else 0
+    return len(text) if len(text) > 50 or text[-1:] in ".!?…”\"" else 0
 
 
 #: Share of a page's running main text that must be messages or filler.
@@ -167,19 +305,24 @@ RESIDUE = 0.5
 
 
 def residue_pages(lines: DataFrame) -> DataFrame:
-    """Pages to exclude, from their main lines (page_id, size, weight, kind); weight is beside what shows residue.
+    """Pages to exclude, from their lines (page_id, framed, size, weight, kind, hash); weight is beside what shows residue.
 
-    A page goes when a placeholder was left unfilled, or when messages and filler make at least
-    ``RESIDUE`` of its running text. The frame of the site has been taken off before.
+    A page goes when a placeholder was left unfilled in its main text, or when messages and filler make at least
+    ``RESIDUE`` of its running text. Boilerplate has been subtracted by host; a recurrent line that shows residue is
+    taken back where most of its pages hold no other running text: then it is what the host has to say (a parked
+    site, a refusal), while a footer or cookie bar stands beside real text.
     """
+    bare = lines.filter("NOT framed").groupBy("page_id").agg(F.sum("weight").alias("_good"))
+    again = lines.filter("framed AND kind > 0").join(bare, "page_id", "left").withColumn("_alone", F.coalesce("_good", F.lit(0)) == 0)
+    own = again.groupBy("hash").agg(F.avg(F.col("_alone").cast("double")).alias("_a")).filter("_a > 0.5").select("hash")
+    taken = spread_join(again.filter("_alone"), own, ["hash"], "inner")
+    cols = ["page_id", "size", "weight", "kind"]
+    every = lines.filter("NOT framed").select(cols).unionByName(taken.select(cols))
     is_bad = F.col("kind").isin(MESSAGE, FILLER)
-    per = lines.groupBy("page_id").agg(
-        F.sum(F.when(is_bad, F.col("size")).otherwise(0)).alias("bad"),
-        F.sum("weight").alias("good"),
+    per = every.groupBy("page_id").agg(
+        F.sum(F.when(is_bad, F.col("size")).otherwise(0)).alias("bad"), F.sum("weight").alias("good"),
         F.max(F.col("kind") == PLACEHOLDER).alias("unfilled"),
         F.max(F.col("kind") == MESSAGE).alias("message"), F.max(F.col("kind") == FILLER).alias("filler"),
     )
     share = F.col("bad") / (F.col("bad") + F.col("good"))
-    return per.filter(F.col("unfilled") | ((F.col("bad") > 0) & (share >= RESIDUE))).select(
-        "page_id", "unfilled", "message", "filler"
-    )
+    return per.filter(F.col("unfilled") | ((F.col("bad") > 0) & (share >= RESIDUE))).select("page_id", "unfilled", "message", "filler")

@@ -45,28 +45,75 @@ def test_small_sites_learn_from_large_ones(spark):
     assert got[999] == {4}
 
 
-def test_blocks_and_order(spark, monkeypatch):
-    rows = [page(i, b) for i, b in enumerate(BODIES)] * 2
-    one, _ = lines_of(spark, [(k, *r[1:]) for k, r in enumerate(rows)])
+def test_one_site_however_it_is_cut(spark, monkeypatch):
+    """Sections with frames of their own; equal rows whole, by blocks of 8 pages, and read again for its length."""
+    rows = []
+    for i in range(90):
+        section = ["Shop", "Basket"] if i % 2 else ["Journal", "Archive"]
+        body = [f"Line {chr(97 + i % 26) * 3} of page {chr(97 + i // 26) * 4} alone, number {i}.", *(["Services"] if i == 40 else [])]
+        rows.append((i, "a.test", f"https://a.test/{i % 2}/{i}", "\n".join(["Home", "Services", *section, *body, "Terms", "Imprint"])))
+    rows += [(1000 + i, *rows[i][1:]) for i in range(10)]
+    whole, _ = lines_of(spark, rows)
+    assert all(5 in v and not {1, 2, 3, 4} & v for v in whole.values())
     monkeypatch.setattr(W, "BLOCK", 8)
-    two, _ = lines_of(spark, [(k, *r[1:]) for k, r in enumerate(rows)])
-    assert one == two
-
-
-def test_empty(spark):
-    got, bad = lines_of(spark, [(1, None, None, None)])
-    assert not got and not bad
-
-
-def test_wrapper_states():
-    w = W.Wrapper()
-    for p in (["a", "x1", "z"], ["a", "b", "x2", "z"], ["a", "b", "x3", "z", "z"], ["b", "a", "z"]):
-        w.fold(p)
-    assert w.share("a") == w.share("z") == 1 and w.share("b") == 0.75 and w.share("x1") == 0.25
-    assert "z" in w.repeated and {"a", "b"} & w.repeated
-    for i in range(W.PATIENCE * 2):
-        w.fold(["a", f"y{i}", "z"])
-    assert "x1" not in w.order and {"a", "b", "z"} <= set(w.order)
+    cut, _ = lines_of(spark, rows)
+    monkeypatch.setattr(W, "BLOCK", 512)
+    monkeypatch.setattr(W, "HOLD", 300)
+    again, _ = lines_of(spark, rows)
+    assert whole == cut == again
+
+
+def test_the_tree_is_fixed_by_the_pages():
+    import random
+
+    rng = random.Random(5)
+    pages = sorted((rng.getrandbits(64) - (1 << 63), [t for t in "abcdefgh" if rng.random() < 0.6] + [f"x{i}"]) for i in range(200))
+    whole = W.infer(pages)
+    for bits in (1, 3, 6):
+        tree, part = W.Tree(), {}
+        for h, tokens in pages:
+            part.setdefault(h >> (64 - bits), []).append((h, tokens))
+        for _, own in sorted(part.items()):
+            tree.add(own[0][0], W.infer(own))
+        got = tree.done()
+        assert (got.tokens, got.support, got.pages) == (whole.tokens, whole.support, whole.pages)
+
+
+def parsed(rows):
+    """What the workers make of whole hosts: {page: lines that are no frame by their host alone}."""
+    import pyarrow as pa
+
+    rows = sorted((site, 0, True, hash(url), i, url, text) for i, site, url, text in rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=list("abcdefg"))
+    got = {}
+    for b in W._infer(W.HOLD)(iter([batch])):
+        for r in b.to_pylist():
+            if r["page_id"] is not None and not r["framed"]:
+                got.setdefault(r["page_id"], set()).add(r["line_no"])
+    return got
+
+
+def test_alignment_decides(monkeypatch):
+    """A heading that equals a menu entry lies in the slot, not at the entry's place: a count of equal lines drops it."""
+    rows = [page(i, ["Work", *b] if i == 3 else b) for i, b in enumerate(BODIES)]
+    rows = [(i, s, u, t.replace("Home", "Home\nWork\nPrices")) for i, s, u, t in rows]
+    got = parsed(rows)
+    assert got[3] == {6, 7, 8} and got[4] == {6, 7}
+    monkeypatch.setattr(W.Reader, "supports", lambda self, kept, at: [self.total.get(kept[k], 1) for k in at])
+    assert parsed(rows)[3] == {7, 8}
+
+
+def test_expressions():
+    w = W.infer((k, p) for k, p in enumerate([["a", "x1", "z"], ["a", "b", "x2", "z"], ["a", "b", "x3", "z", "z"], ["b", "a", "z"]]))
+    assert w.pages == 4 and sum(s for t, s in zip(w.tokens, w.support) if t == "a") == 4 == sum(s for t, s in zip(w.tokens, w.support) if t == "z")
+    r = W.Reader(w)
+    read = lambda tokens: r.supports(*W.squares(tokens))
+    assert read(["a", "q", "z", "z"]) == [4, 1, 4, 4]  # optional b is missing, z repeats
+    assert read(["a", "q", "a", "z"])[2] == 1  # a second "a" lies in the slot
+    assert W.squares(["m", "n", "m", "n", "o"]) == (["m", "n", "o"], [0, 1, 0, 1, 2])
+    assert W.align(list("abcxd"), list("abdxc")) == [(0, 0), (1, 1), (3, 3)] or len(W.align(list("abcxd"), list("abdxc"))) == 3
+    long = W.infer((k << 50, ["a", f"y{k}", "z"]) for k in range(100))
+    assert long.tokens == ["a", "z"] and long.support == [100, 100]
 
 
 def test_evidence():
@@ -77,17 +124,49 @@ def test_evidence():
     assert e("TBD TBD TBD") == R.FILLER and e("Your headline here") == R.FILLER
     assert e("Welcome to [object Object], your partner.") == R.PLACEHOLDER and e("Meet the team at <Your Name>.") == R.PLACEHOLDER
     assert e("We use %CITY% tags such as {{first_name}} sparingly, since [object Object] fails.") == R.PLACEHOLDER
-    assert e("as {{first_name}} sparingly, since a greeting") == R.NONE
-    assert e("Please enable JavaScript for the full menu.") == R.NOTICE
+    assert R.weighed("as {{first_name}} sparingly, since a greeting", "We have long been using merge tags such")[0] == R.NONE
     for text in (
         "We use merge tags such as {{first_name}} sparingly, since a greeting that fails looks worse than none.",
         "Good error pages matter: Elm turned its 404 page into a search box and saved 3 visits a day.",
         "40% of calls came after closing time.", "There were 20 tags on the page and only three of them sent anything useful.", "",
         "If a site shows nothing without scripts, our reader sees an empty grid.",
+        "Our templates use {{first_name}} only when the list is clean.", "Explaining the {{first_name}} token to clients takes five minutes.",
     ):
         assert e(text) == R.NONE, text
 
 
+# Written after the grammar, none of it used in building it.
+HELD_OUT = (
+    "Sorry, we can’t find that page.", "You need to switch on JavaScript before continuing.", "Oups, la page demandée est introuvable.", "Ce site nécessite JavaScript.",
+    "Hello [First Name],", "Dear {FirstName},", "This link has expired.", "Your session has timed out.", "The server is down for maintenance.", "Diese Domain steht zum Verkauf.",
+    "Cette page n'existe plus.", "El sitio está en mantenimiento.", "Necesita activar JavaScript para usar este sitio.", "Der Dienst ist zurzeit nicht erreichbar.",
+    "Your account has been disabled.", "HTTP 502 Bad Gateway", "No se ha encontrado la página solicitada.", "Zugriff verweigert.", "Accès refusé.", "Something went wrong while loading this page.",
+    "Lorem ipsum dolor", "Add your headline here", "Insert a short description of your business here.", "Thank you, [Customer Name], for your order.", "Starting at ${price} a month.",
+    "Veuillez activer JavaScript dans votre navigateur.", "Please confirm you are not a robot.", "The file you requested could not be located.", "Remplacez ce texte par le vôtre.", "Hier steht Ihr Text. Ersetzen Sie diesen Absatz.",
+)
+HELD_OUT_TEXT = (
+    "We found that the landing page was slow.", "Cookies are baked fresh every morning.", "Nothing beats a clear headline.", "Elm Partners blocked three placements last year.",
+    "The team could not find a cheaper channel, so it kept print.", "Nous avons trouvé une page plus simple pour les clients.", "Wir haben die Seite neu gebaut.", "La página de inicio pesa más que un anuncio.",
+    "Her site was down for a day in March and nobody called.", "A page that cannot be found costs a sale.", "Most sites require JavaScript today.", "How to write a description that sells.",
+    "Click rates rose by half.", "Our service is available in four cities.", "He removed the link from the footer.", "Access to the account was given to Elm Media in May.", "They replaced the title of every page.", "Write short sentences.",
+)
+
+
+def test_held_out_wording():
+    found = [x for x in HELD_OUT if R.evidence(x)]
+    wrong = [x for x in HELD_OUT_TEXT if R.evidence(x)]
+    print("missed", [x for x in HELD_OUT if x not in found], "wrong", wrong)
+    assert len(found) >= 0.9 * len(HELD_OUT) and len(found) >= 0.9 * (len(found) + len(wrong))
+
+
+def test_recurrent_evidence(spark):
+    """A footer that failed is boilerplate beside text; the one line of a parked host is what it says."""
+    rows = [(i, "f.test", f"https://f.test/{i}", "\n".join(["Home", *b, "© {{year}} Elm", "This site requires cookies."])) for i, b in enumerate(BODIES)]
+    rows += [(100 + i, "p.test", f"https://p.test/{i}", "Home\nThis domain is parked.") for i in range(6)]
+    got, bad = lines_of(spark, rows)
+    assert bad == {100 + i for i in range(6)} and all(got[i] == {2, 3} for i in range(12))
+
+
 def test_long_lines_are_searched_and_judged(spark):
     talk = "Our team of Elm wrote about the matter at length and with care for each reader of it. "
     assert R.evidence("Lorem ipsum dolor sit amet. " + "Consectetur adipiscing elit sed do eiusmod. " * 8) == R.FILLER
