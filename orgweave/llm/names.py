@@ -1,13 +1,16 @@
 """Variant spellings of organisations' names: suffix blocking, LCS comparison, entities.
 
 Every typed name is read into its own words (accents, legal forms, places, titles and trade words taken
-off), the trade it states, an initial if one stands for a word, and the label of its site. The suffixes of
-these words and labels are the index. A suffix shared by more than ``COMMON`` forms is not dropped but
-refined: with the whole word and the beginnings of the other words. Forms in one block are compared by
-the ratio of their longest common subsequence, in either order of their words, and by their trades.
+off), the trade it states, an initial if one stands for a word, given names by the name they are short for, and
+its site. Words of trades are the seeds below and every word that spreads over the sites of the data
+(``spread_words``). The suffixes of the own words, and of the labels of sites, are the index: all forms enter it.
+A suffix shared by too many forms is not dropped but refined, by longer suffixes and by more and more letters of
+the other words; what is common after that is discarded. Forms in one block are compared by the ratio of their
+longest common subsequence, in either order of their words, by their trades and their given names.
 
-Rows of one site are one organisation, whatever their spelling (sites refine the blocks); forms without
-a site go to the best fitting site; forms that fit none are joined among themselves, by components.
+A site is evidence. Rows of one root are one organisation unless the host is shared by many (names there don't
+resemble each other); two roots are one organisation only if words and stated trade are equal. Forms without a
+site go to the best fitting site, by way of other forms if need be; what fits none is joined by components.
 
 Defined results: NULL, blank and stand-in names take part by their site alone; without a site they belong
 to nothing. Names of any length are compared whole (beyond 64 characters by an exact, slower way). Equal
@@ -18,8 +21,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import types as T
 
 from orgweave.functions.urls import root_domain
 from orgweave.llm.components import components
+from orgweave.operators.skew import spread_join
 from orgweave.shipping import ship
 from orgweave.staging import stage
 
@@ -42,7 +47,15 @@ NOISE = frozenset(
     "inc incorporated llc ltd limited corp corporation pllc plc lp llp co company comp gmbh sa the and of n a by sons son dr mr mrs ms "
     "prof main office".split()
 )
-# Words of trades; those in the second list state no trade on their own.
+#: A word is one of trades where it stands in names of so many sites: at least LEAST, and one in SPREAD of all.
+LEAST, SPREAD = 4, 2000
+#: Sites of two roots are one organisation at this ratio of their words.
+APART = 1.0
+#: A host is shared if it has MANY forms or more and fewer than this share of its rows resemble its label or its
+#: commonest name.
+MANY, RESEMBLE = 5, 0.3
+
+# Seeds of the words of trades; those in the second list state no trade on their own.
 TRADES = (
     "accounting advertising air apparel auto bakery bath brand brewing cafe clinic coffee communications creative credit dental "
     "digital eye estate family fitness furniture garage growth heating home insurance interactive kitchen landscaping law "
@@ -62,7 +75,11 @@ GIVEN = {
     "michael": "mike mick mickey", "patricia": "pat patty tricia trish", "rebecca": "becky becca", "richard": "rick dick rich richie",
     "robert": "bob rob bobby bert", "susan": "sue susie suzy", "theodore": "theo ted teddy", "william": "will bill billy liam",
 }
-_GIVEN = frozenset(GIVEN) | frozenset(w for v in GIVEN.values() for w in v.split())
+_GIVEN: dict[str, set[str]] = {}
+for _g, _short in GIVEN.items():
+    for _w in (_g, *_short.split()):
+        _GIVEN.setdefault(_w, set()).add(_g)
+_SEEDS = frozenset(TRADES)
 
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])")
 _ASIDE = re.compile(r"\([^)]*\)|\s-\s.*$")
@@ -74,16 +91,18 @@ def _subsequence(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-def _trade(token: str) -> str | None:
-    """The trade words a token is or may shorten, joined by |; '' for a generic one, None for none."""
+def _trade(token: str, trades: dict[str, list[str]]) -> str | None:
+    """The trade words a token is or may shorten, joined by |; '' for a generic one, None for none. ``trades`` are the
+    words by their first letter."""
     if token in SHORT:
         return SHORT[token]
-    if token in TRADES:
+    mine = trades.get(token[0], ())
+    if token in mine:
         return token
     if token in GENERIC:
         return ""
     if 2 <= len(token) <= 9:
-        fits = [w for w in TRADES if token[0] == w[0] and len(token) < len(w) and _subsequence(token, w)]
+        fits = [w for w in mine if w in _SEEDS and len(token) < len(w) and _subsequence(token, w)]
         if fits:
             return "|".join(fits)
         if any(token[0] == w[0] and len(token) < len(w) and _subsequence(token, w) for w in GENERIC):
@@ -91,20 +110,36 @@ def _trade(token: str) -> str | None:
     return None
 
 
-def read_name(name: str | None, cache: dict[str, str | None]) -> tuple[str, str, str]:
-    """(own words joined by |, trades joined by |, initial)."""
+def by_letter(words: Iterable[str]) -> dict[str, list[str]]:
+    got: dict[str, list[str]] = {}
+    for w in sorted(words):
+        got.setdefault(w[0], []).append(w)
+    return got
+
+
+_SEEDED = by_letter(TRADES)
+
+
+def read_name(
+    name: str | None, cache: dict[str, str | None], trades: dict[str, list[str]] = _SEEDED, spread: Mapping[str, float] = MappingProxyType({})
+) -> tuple[str, str, str, str]:
+    """(own words joined by |, trades joined by |, initial, given names joined by |). Where every word is one of trades
+    by its spread alone, the one that spreads least is the own word."""
     if not name:
-        return "", "", ""
+        return "", "", "", ""
     s = _CAMEL.sub(" ", name)
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     if "(" in s or "- " in s:
         s = _ASIDE.sub(" ", s)
-    own, trades, initial = [], set(), ""
+    own, found, initial, given = [], set(), "", set()
     for t in _TOKEN.findall(s.lower()):
         if "." in t:
             t = t.replace(".", "")
-        if t in NOISE or t in _GIVEN:
+        if t in NOISE:
+            continue
+        if t in _GIVEN:
+            given |= _GIVEN[t]
             continue
         if len(t) == 1:
             initial = initial or t
@@ -112,13 +147,18 @@ def read_name(name: str | None, cache: dict[str, str | None]) -> tuple[str, str,
         if t not in cache:
             if len(cache) > 200_000:
                 cache.clear()
-            cache[t] = _trade(t)
+            cache[t] = _trade(t, trades)
         trade = cache[t]
         if trade is None:
             own.append(t)
         elif trade:
-            trades.update(trade.split("|"))
-    return "|".join(own), "|".join(sorted(trades)), initial
+            found.update(trade.split("|"))
+    if not own and spread:
+        learned = [t for t in found if t in spread and t not in _SEEDS]
+        if learned:
+            least = min(learned, key=lambda t: (spread[t], t))
+            own, found = [least], found - {least}
+    return "|".join(own), "|".join(sorted(found)), initial, "|".join(sorted(given))
 
 
 def stand_in(c: Column) -> Column:
@@ -126,26 +166,55 @@ def stand_in(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(*STAND_INS)
 
 
-def site_label(domain: str) -> Column:
-    """Letters and digits of the root's own label; NULL where there is no root."""
-    return F.regexp_replace(F.substring_index(root_domain(domain), ".", 1), "-", "")
+def _spread(n: Column, scale: int) -> Column:
+    """A set of 64 bits of the sites that one in ``scale`` hash to."""
+    bit = F.expr("shiftleft(1L, cast(pmod(_site, 64) as int))")
+    return F.bit_or(F.when(F.pmod(F.shiftright("_site", 8), F.lit(scale)) == 0, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_b{scale}")
 
 
-_READ = T.StructType([T.StructField(n, T.StringType()) for n in ("own", "trade", "initial")])
+_SCALES = (1, 16, 256, 4096)
 
 
-def _read(names: pa.Array) -> pa.Array:
-    """The parts of each name; equal names of a batch are read once."""
-    words: dict[str, str | None] = {}
-    seen: dict[str | None, tuple[str, str, str]] = {}
-    got = []
-    for x in names.to_pylist():
-        r = seen.get(x)
-        if r is None:
-            r = seen[x] = read_name(x, words)
-        got.append(r)
-    cols = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]
-    return pa.StructArray.from_arrays(cols, names=["own", "trade", "initial"])
+def spread_words(df: DataFrame, name: str, domain: str) -> dict[str, float]:
+    """Words that stand in names of at least LEAST sites, and of one in SPREAD: (word, about how many sites).
+
+    All names count. A word's sites are kept as sets of 64 bits at four scales (linear counting), so a row is
+    reduced before the shuffle; fewer than SPREAD times the words of a site can be returned.
+    """
+    src = df.filter(F.col(domain).isNotNull() & F.col(name).isNotNull()).select(
+        F.xxhash64(root_domain(domain)).alias("_site"), root_domain(domain).isNotNull().alias("_ok"),
+        F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("[a-z]{3,}"), F.lit(0))).alias("_words"),
+    ).filter("_ok")
+    sites = src.agg(F.approx_count_distinct("_site")).scalar()
+    words = src.select("_site", F.explode("_words").alias("word")).groupBy("word").agg(*[_spread(F.col("_site"), k) for k in _SCALES])
+    counted = [F.when(F.bit_count(f"_b{k}") < 50, -64.0 * k * F.log(1 - F.bit_count(f"_b{k}") / 64.0)) for k in _SCALES]
+    words = words.select("word", F.coalesce(*counted, F.lit(64.0 * _SCALES[-1] * 4)).alias("sites"))
+    got = words.filter(F.col("sites") >= F.greatest(F.lit(LEAST - 0.5), sites / SPREAD)).collect()
+    return {r["word"]: r["sites"] for r in got}
+
+
+_FORM = ("own", "trade", "initial", "given")
+_READ = T.StructType([T.StructField(n, T.StringType()) for n in _FORM])
+
+
+def _reader(spread: dict[str, float]):
+    known = frozenset(GENERIC) | NOISE | frozenset(_GIVEN) | frozenset(SHORT)
+    trades = by_letter(_SEEDS | {w for w in spread if w not in known})
+
+    def read(names: pa.Array) -> pa.Array:
+        """The parts of each name; equal names of a batch are read once."""
+        words: dict[str, str | None] = {}
+        seen: dict[str | None, tuple[str, ...]] = {}
+        got = []
+        for x in names.to_pylist():
+            r = seen.get(x)
+            if r is None:
+                r = seen[x] = read_name(x, words, trades, spread)
+            got.append(r)
+        cols = [pa.array([g[i] for g in got], pa.string()) for i in range(len(_FORM))]
+        return pa.StructArray.from_arrays(cols, names=list(_FORM))
+
+    return read
 
 
 _PLACES = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: 52 + i for i, c in enumerate("0123456789")}
@@ -172,14 +241,15 @@ def _kept(i: int) -> str:
 
 
 def read_names(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(row, name, label, own, trade, initial) and the columns to keep as _keep0, ...; name NULL where it is a stand-in."""
+    """(row, name, root, own, trade, initial, given) and the columns to keep as _keep0, ...; name NULL where it is a
+    stand-in."""
     ship(df.sparkSession)
     src = df.select(
         F.col(row).cast("bigint").alias("row"), F.when(~stand_in(F.col(name)), F.col(name)).alias("name"),
-        site_label(domain).alias("label"), *[df[c].alias(_kept(i)) for i, c in enumerate(keep)],
+        root_domain(domain).alias("root"), *[df[c].alias(_kept(i)) for i, c in enumerate(keep)],
     )
-    read = src.withColumn("_r", F.arrow_udf(_read, _READ)("name"))
-    return read.select("row", "name", "label", "_r.own", "_r.trade", "_r.initial", *map(_kept, range(len(keep))))
+    read = src.withColumn("_r", F.arrow_udf(_reader(spread_words(src, "name", "root")), _READ)("name"))
+    return read.select("row", "name", "root", *[f"_r.{x}" for x in _FORM], *map(_kept, range(len(keep))))
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -253,19 +323,21 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
 
     Trades are part of the key, as only forms whose trades don't exclude each other are compared: ``first``
     forms that state one meet seconds that state the same, and seconds that state none (S); first forms that
-    state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides.
+    state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides, and
+    so it must between two sites.
     """
+    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
     words = F.filter(F.split("own", r"\|"), lambda w: F.length(w) > 2)
-    if "label" in forms.columns:
-        words = F.array_distinct(F.concat(words, F.array("label")))
+    words = F.when(F.col("root").isNull(), words).otherwise(F.array_distinct(F.concat(words, F.array(label))))
     none, some = ([F.lit("U")], [F.lit("S")]) if first else ([F.lit("S"), F.lit("U")], [F.lit("U")])
     trades, bare = F.split("trade", r"\|"), F.col("initial") == ""
-    kinds = F.when(F.col("trade") == "", F.when(bare, F.array(*none)).otherwise(F.array().cast("array<string>")))
-    kinds = kinds.otherwise(F.when(bare, F.concat(trades, F.array(*some))).otherwise(trades))
+    loose = bare & F.col("root").isNull() if first else bare
+    kinds = F.when(F.col("trade") == "", F.when(loose, F.array(*none)).otherwise(F.array().cast("array<string>")))
+    kinds = kinds.otherwise(F.when(loose, F.concat(trades, F.array(*some))).otherwise(trades))
     rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
     rows = rows.select(
-        "id", "own", "bag", "letters", bare.alias("bare"), "word", "kind", F.least(F.lit(SUFFIX), F.length("word")).alias("size"),
-        F.lit("").alias("tail"),
+        "id", "own", "bag", "letters", bare.alias("bare"), F.xxhash64("root").alias("site"), F.col("root").isNotNull().alias("sited"), "word", "kind",
+        F.least(F.lit(SUFFIX), F.length("word")).alias("size"), F.lit("").alias("tail"),
     )
     return _keyed(rows)
 
@@ -275,9 +347,9 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """Rows of common keys, each replaced by keys of longer suffixes, and by keys of the same suffix
-    with the beginning or end of another word. A whole word with a common tail stays: its block is compared
-    as a whole."""
+    """Rows of common keys, each replaced by keys of longer suffixes, and by keys of the same suffix with more of the
+    beginning or end of another word. A key that is two whole words can't be refined: it is discarded where it is
+    common, as forms with equal words and trades are few (their initials and given names)."""
     size, longer = F.col("size"), F.col("size") < F.length("word")
     own = F.split("own", r"\|")
     others = F.filter(own, lambda w: w != F.col("word"))
@@ -288,96 +360,136 @@ def _split(rows: DataFrame) -> DataFrame:
         F.transform(heads, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 3))),
         F.transform(others, lambda w: F.concat(F.lit(">"), F.right(w, F.lit(SUFFIX)))),
     )
-    key = lambda size, tail, fresh: F.struct(size.alias("size"), tail.alias("tail"), F.lit(fresh).alias("fresh"))
-    none = F.array().cast("array<struct<size:int,tail:string,fresh:boolean>>")
-    grown = F.when(longer, F.array(key(size + 1, F.col("tail"), True)))
-    plain = F.concat(F.coalesce(grown, none), F.transform(F.array_distinct(tails), lambda t: key(size, t, True)))
-    keys = F.when(F.col("tail") == "", plain).otherwise(F.coalesce(grown, F.array(key(size, F.col("tail"), False))))
-    got = rows.withColumn("_k", F.explode(keys)).drop("size", "tail", "fresh", "suffix")
-    return _keyed(got.select("*", "_k.size", "_k.tail", "_k.fresh").drop("_k"))
-
-
-def _index(free: DataFrame, sited: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys of the forms without a site as first and second of a pair, and of the sited as second."""
-    now = [_open(free, True), _open(free, False), _open(sited, False)]
-    done: list[list[DataFrame]] = [[], [], []]
+    more = F.length("tail") + 1
+    sign, part = F.substring("tail", 1, 1), F.substring("tail", F.lit(2), F.length("tail"))
+    further = F.concat(
+        F.transform(F.filter(heads, lambda w: (sign == "<") & F.startswith(w, part) & (F.length(w) > F.length(part))), lambda w: F.concat(F.lit("<"), F.substring(w, F.lit(1), more))),
+        F.transform(F.filter(others, lambda w: (sign == ">") & F.endswith(w, part) & (F.length(w) > F.length(part))), lambda w: F.concat(F.lit(">"), F.right(w, more))),
+    )
+    key = lambda size, tail: F.struct(size.alias("size"), tail.alias("tail"))
+    none = F.array().cast("array<struct<size:int,tail:string>>")
+    grown = F.coalesce(F.when(longer, F.array(key(size + 1, F.col("tail")))), none)
+    wider = F.transform(F.array_distinct(F.when(F.col("tail") == "", tails).otherwise(further)), lambda t: key(size, t))
+    got = rows.withColumn("_k", F.explode(F.concat(grown, wider))).drop("size", "tail", "suffix")
+    return _keyed(got.select("*", "_k.size", "_k.tail").drop("_k")).distinct()
+
+
+def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of the forms as first and as second of a pair, none of them common: no more than COMMON * COMMON / 4 pairs
+    meet under one."""
+    now = [_open(first, True), _open(second, False)]
+    done: list[list[DataFrame]] = [[], []]
     while True:
         count = lambda df, n: df.groupBy("suffix").agg(F.count(F.lit(1)).alias(n))
-        common = count(now[0], "a").join(count(now[1].select("suffix").unionByName(now[2].select("suffix")), "b"), "suffix")
+        common = count(now[0], "a").join(count(now[1], "b"), "suffix")
         common = stage(common.filter(F.col("a") * F.col("b") > COMMON * COMMON / 4).select("suffix"), "common")
         last = common.isEmpty()
         for i, rows in enumerate(now):
             done[i].append(rows if last else rows.join(common, "suffix", "left_anti"))
             if not last:
-                parts = stage(_split(rows.join(common, "suffix")), "split")
-                done[i].append(parts.filter("NOT fresh"))
-                now[i] = parts.filter("fresh")
+                now[i] = stage(_split(rows.join(common, "suffix", "left_semi")), "split")
         if last:
-            return tuple(reduce(DataFrame.unionByName, (x.select("suffix", "id", "bag", "letters", "bare") for x in d)) for d in done)
+            cols = ["suffix", "id", "bag", "letters", "bare", "site", "sited"]
+            return tuple(reduce(DataFrame.unionByName, (x.select(cols) for x in d)) for d in done)
 
 
-def _match(a: DataFrame, b: DataFrame, forms_a: DataFrame, forms_b: DataFrame, later: bool = False) -> DataFrame:
-    """(id, id_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO."""
-    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare")])
+def _match(a: DataFrame, b: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, id_b, sited, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a pair of two
+    sites, with APART. Of forms without a site each is held against later ones only."""
+    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "site", "sited")])
     total = F.col("letters") + F.col("letters_b")
     # letters that one of them lacks are lost to the subsequence; of words with an initial only a part is compared
     near = F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_b"))) <= total * (1 - RATIO) + 1e-6
-    pairs = a.join(b, "suffix").filter(near | ~F.col("bare") | ~F.col("bare_b"))
-    if later:
-        pairs = pairs.filter("id < id_b")
-    pairs = pairs.select("id", "id_b").distinct()
-    named = lambda df, x: df.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in ("own", "trade", "initial")])
-    pairs = pairs.join(named(forms_a, ""), "id").join(named(forms_b, "_b"), "id_b")
-    same = (F.col("trade") != "") & (F.col("trade_b") != "")
-    pairs = pairs.filter(~same | F.arrays_overlap(F.split("trade", r"\|"), F.split("trade_b", r"\|")))  # keys are hashes
-    pairs = pairs.select("id", "id_b", same.alias("stated"), "own", "initial", "own_b", "initial_b")
-    return pairs.mapInArrow(_ratios, "id bigint, id_b bigint, stated boolean, score double").filter(F.col("score") >= RATIO)
+    same = (F.col("bag") == F.col("bag_b")) & (F.col("letters") == F.col("letters_b")) & F.col("bare") & F.col("bare_b")
+    free = ~F.col("sited") & (F.col("sited_b") | (F.col("id") < F.col("id_b"))) & (near | ~F.col("bare") | ~F.col("bare_b"))
+    pairs = a.join(b, "suffix").filter(free | (F.col("sited") & F.col("sited_b") & (F.col("site") != F.col("site_b")) & same))
+    pairs = pairs.select("id", "id_b", "sited", "sited_b").distinct()
+    named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in _FORM])
+    pairs = pairs.join(named(""), "id").join(named("_b"), "id_b")
+    both = lambda c: (F.col(c) != "") & (F.col(c + "_b") != "")
+    shared = lambda c: F.arrays_overlap(F.split(c, r"\|"), F.split(c + "_b", r"\|"))
+    pairs = pairs.filter((~both("trade") | shared("trade")) & (~both("given") | shared("given")))  # keys are hashes
+    pairs = pairs.select("id", "id_b", "sited", "sited_b", both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
+    got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited boolean, sited_b boolean, stated boolean, score double")
+    return got.filter(F.col("score") >= F.when(F.col("sited"), APART).otherwise(RATIO))
+
+
+def shared_hosts(sited: DataFrame) -> DataFrame:
+    """(root) of hosts many organisations share, from their forms (root, own, n)."""
+    plain = sited.filter("own <> ''").select("root", F.regexp_replace("own", r"\|", "").alias("own"), "n")
+    top = plain.groupBy("root").agg(F.count(F.lit(1)).alias("_forms"), F.max(F.struct("n", "own"))["own"].alias("_top")).filter(F.col("_forms") >= MANY)
+    like = lambda x: F.levenshtein("own", x) * 2 <= F.greatest(F.length("own"), F.length(x))
+    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
+    fits = plain.join(top, "root").groupBy("root").agg(
+        (F.sum(F.when(like(F.col("_top")) | like(label), F.col("n")).otherwise(0)) / F.sum("n")).alias("_fit")
+    )
+    return fits.filter(F.col("_fit") < RESEMBLE).select("root")
 
 
 def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
     """(row, name, entity) and the columns to keep: rows of one organisation share an entity; rows of none
     are left out."""
+    if {"row", "name", "entity"} & set(keep):
+        raise ValueError("row, name and entity are the result's own columns")
     rows = stage(read_names(df, row, name, domain, keep), "names")
-    form = ["own", "trade", "initial"]
+    form = list(_FORM)
     has_own = F.col("own") != ""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        # a form's id is its smallest row
+        got = rows.groupBy("root", *form).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("id"))
+        return got.filter(F.col("root").isNotNull() | has_own)
+
+    forms = stage(grouped(rows), "forms")
+    shared = stage(shared_hosts(forms.filter("root IS NOT NULL")), "shared")
+    if not shared.isEmpty():
+        rows = spread_join(rows, shared.withColumn("_shared", F.lit(True)), ["root"])
+        rows = stage(rows.withColumn("root", F.when(F.col("_shared").isNull(), F.col("root"))).drop("_shared"), "names")
+        forms = stage(grouped(rows), "forms")
     # a site none of whose names has words of its own is known by its label
-    sited = rows.filter("label IS NOT NULL").select(
-        "label", F.when(has_own, F.col("own")).otherwise(F.col("label")).alias("own"), "trade", "initial"
-    )
-    measured = lambda df: df.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn(
-        "letters", F.length(F.regexp_replace("own", r"\|", ""))
+    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
+    measured = forms.withColumn("own", F.when(has_own, F.col("own")).otherwise(label))
+    measured = measured.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn("letters", F.length(F.regexp_replace("own", r"\|", "")))
+    measured = stage(measured, "measured")
+    # of a site the commonest form seeks other sites; all of its forms are sought
+    sited = measured.filter("root IS NOT NULL")
+    chief = sited.groupBy("root").agg(F.max(F.struct("n", -F.col("id"), *[c for c in measured.columns if c not in ("root", "n")])).alias("m"))
+    chief = chief.select("root", "m.n", *[f"m.{c}" for c in measured.columns if c not in ("root", "n")]).select(measured.columns)
+    first, second = _index(measured.filter("root IS NULL").unionByName(chief), measured)
+    links = stage(_match(first, second, measured.select("id", *form)), "links")
+
+    homes = sited.select(F.col("id").alias("id_b"), F.col("root").alias("home"), "n")
+    fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "home")).alias("m")
+    best = links.filter("NOT sited AND sited_b").join(homes, "id_b").groupBy("id").agg(fit)
+    best = stage(best.select("id", F.col("m.home").alias("home")), "best")
+    # what fits no site may fit one by way of other forms: components take the best site any of their forms reaches
+    free = links.filter("NOT sited AND NOT sited_b").select("id", "id_b", "stated", "score")
+    both = free.unionByName(free.select(F.col("id_b").alias("id"), F.col("id").alias("id_b"), "stated", "score"))
+    out = stage(both.join(best.select("id"), "id", "left_anti"), "open")
+    at = best.select(F.col("id").alias("id_b"), F.col("home"))
+    inner = components(out.join(at.select("id_b"), "id_b", "left_anti").filter("id < id_b"), "id", "id_b")
+    alone = measured.filter("root IS NULL").select("id").join(best.select("id"), "id", "left_anti").join(inner, "id", "left")
+    alone = stage(alone.select("id", F.coalesce("component", "id").alias("component")), "alone")
+    via = out.join(at, "id_b").join(alone, "id").groupBy("component").agg(F.max(F.struct("stated", F.round("score", 2).alias("score"), "home"))["home"].alias("home"))
+    rest = alone.join(via, "component", "left").select("id", "home", F.concat(F.lit("f:"), F.col("component").cast("string")).alias("entity"))
+    at_site = F.concat(F.lit("s:"), F.col("home"))
+    of_form = best.select("id", "home", at_site.alias("entity")).unionByName(rest.select("id", "home", F.coalesce(at_site, F.col("entity")).alias("entity")))
+    of_form = forms.filter("root IS NULL").select(*form, "id").join(of_form, "id").drop("id")
+    with_site = rows.filter("root IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("root")))
+    # sites of equal words and trade
+    apart = links.filter("sited AND stated").join(homes.select("id_b", F.col("home").alias("_to")), "id_b").join(
+        homes.select(F.col("id_b").alias("id"), F.col("home").alias("_from")), "id"
     )
-    sited = sited.groupBy("label", *form).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
-    sited = stage(measured(sited), "sited")
-    free = rows.filter(F.col("label").isNull() & has_own).groupBy(*form).agg(F.min("row").alias("id"))
-    free = stage(measured(free), "free")
-    first, second, with_label = _index(free, sited)
-
-    def to_site(pairs: DataFrame, homes: DataFrame) -> DataFrame:
-        fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "home")).alias("m")
-        return pairs.join(homes.withColumnRenamed("id", "id_b"), "id_b").groupBy("id").agg(fit).select("id", F.col("m.home").alias("home"))
-
-    homes = sited.select("id", F.col("label").alias("home"), "n")
-    best = stage(to_site(_match(first, with_label, free, sited), homes), "sites")
-    # a form may fit the site only by way of another form without a site that fits it
-    open_, via = first.join(best, "id", "left_anti"), second.join(best, "id", "left_semi")
-    via = to_site(_match(open_, via, free, free), best.withColumn("n", F.lit(0)))
-    best = stage(best.unionByName(via), "sites")
-    alone = stage(free.select("id", *form).join(best, "id", "left_anti"), "alone")
-    # within a block each form is held against later ones only
-    left = [x.join(best, "id", "left_anti") for x in (first, second)]
-    twos = _match(*left, alone, alone, later=True).select("id", "id_b")
-    comp = components(twos, "id", "id_b")
-    rest = alone.select("id").join(comp, "id", "left")
-    rest = rest.select("id", F.concat(F.lit("f:"), F.coalesce("component", "id").cast("string")).alias("entity"))
-    best = best.select("id", F.concat(F.lit("s:"), "home").alias("entity"))
-    of_form = free.join(best.unionByName(rest), "id").select(*form, "entity")
-    if {"row", "name", "entity"} & set(keep):
-        raise ValueError("row, name and entity are the result's own columns")
-    out = ["row", "name", "entity", *[F.col(_kept(i)).alias(c) for i, c in enumerate(keep)]]
-    with_site = rows.filter("label IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("label"))).select(*out)
-    without = rows.filter(F.col("label").isNull() & has_own).join(of_form, form).select(*out)
-    return with_site.unionByName(without)
+    apart = stage(apart.select("_from", "_to"), "apart")
+    if not apart.isEmpty():
+        no = chief.select("root", "id")
+        ids = apart.join(no.select(F.col("root").alias("_from"), F.col("id").alias("a")), "_from").join(no.select(F.col("root").alias("_to"), F.col("id").alias("b")), "_to")
+        same = components(ids, "a", "b").join(no, "id").select("root", F.concat(F.lit("r:"), F.col("component").cast("string")).alias("_e"))
+        with_site = with_site.join(same, "root", "left").withColumn("entity", F.coalesce("_e", "entity"))
+        of_form = of_form.join(same.withColumnRenamed("root", "home"), "home", "left").withColumn("entity", F.coalesce("_e", "entity"))
+    without = rows.filter(F.col("root").isNull() & has_own).join(of_form.select(*form, "entity"), form)
+    cols = ["row", "name", "entity", *[F.col(_kept(i)).alias(c) for i, c in enumerate(keep)]]
+    return with_site.select(*cols).unionByName(without.select(*cols))
 
 
 def variant_pairs(ent: DataFrame) -> DataFrame:
