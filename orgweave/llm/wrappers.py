@@ -56,8 +56,7 @@ FINE_SITES, COARSE_SITES, VOICE = 2, 3, 16
 
 _TAG = re.compile(r"</?[a-z!][^>]*>")
 _NUM = re.compile(r"\d[\d.,:]*")
-_DIGIT = re.compile(r"\d")
-_ALIKE = str.maketrans("0123456789", "#" * 10)
+_MASK = re.compile(r"(?<![\w.,])[A-ZÀ-ÖØ-Þ][\w'’]*|[$€£]?\d[\w.,:]*")
 _OPEN = re.compile(r"^<(main|article|section|div)\b[^>]*>$")
 _FRAME_TAG = re.compile(r"^<(?:nav|footer|header|aside|html|head|title|form)\b")
 #: Separators of menus and trails; such a line is judged by the first of its parts.
@@ -248,19 +247,17 @@ def _key(kind: str, text: str) -> int:
 
 
 def templates(text: str) -> tuple[int, int]:
-    """Keys of the masked line (numbers #, capitalised words N; behind the 20th word numbers alone), and of its label
-    or first words among lines of about its length."""
-    words = text.split(None, 20)
-    rest = words.pop() if len(words) > 20 else ""
-    start = words[0] if words and not (len(words) > 1 and words[1][0].isupper()) else ""
-    words = ["N" if w[0].isupper() else w if w.isalpha() or not _DIGIT.search(w) else "#" for w in words]
-    if start and words[0] == "N":
-        words[0] = start  # a sentence's first word
-    masked = " ".join(words).replace("N and N", "N").replace("N & N", "N").replace("N N N", "N").replace("N N", "N")
-    long = max((masked.count(" ") + rest.count(" ") + 1).bit_length(), 4)
+    """Keys of the masked line (numbers and capitalised words N), and of its label or first words among lines of about
+    its length."""
+    first, _, rest = text.partition(" ")
+    masked = _MASK.sub("N", rest)
+    if first[:1].isupper() and rest[:1].isupper() or first[:1].isdigit():
+        first = "N"  # else a capital only begins the sentence
+    masked = f"{first} {masked}".replace("N and N", "N").replace("N & N", "N").replace("N N N", "N").replace("N N", "N")
     words = masked.split(" ", 3)
     head = next((k for k, x in enumerate(words[:3], 1) if x[-1:] == ":"), 3)  # a label, or three words
-    return _key("f", masked + rest.translate(_ALIKE)), _key(f"c{long} ", " ".join(words[:head]))
+    long = max((masked.count(" ") + 1).bit_length(), 4)
+    return _key("f", masked), _key(f"c{long} ", " ".join(words[:head]))
 
 
 def _trail(text: str) -> str | None:
