@@ -9,7 +9,8 @@ the other words; what is common after that is discarded. Forms in one block are
 longest common subsequence, in either order of their words, by their trades and their given names.
 
 A site is evidence. Rows of one root are one organisation unless the host is shared by many (names there don't
-resemble each other); two roots are one organisation only if words and stated trade are equal. Forms without a
+resemble each other); two roots are one organisation if their stated trades agree and their words are equal, or
+similar where the roots differ in their endings alone. Forms without a
 site go to the best fitting site, by way of other forms if need be; what fits none is joined by components.
 
 Defined results: NULL, blank and stand-in names take part by their site alone; without a site they belong
@@ -49,7 +50,7 @@ NOISE = frozenset(
 )
 #: A word is one of trades where it stands in names of so many sites: at least LEAST, and one in SPREAD of all.
 LEAST, SPREAD = 4, 2000
-#: Sites of two roots are one organisation at this ratio of their words.
+#: Sites of two roots whose labels differ are one organisation at this ratio of their words.
 APART = 1.0
 #: A host is shared if it has MANY forms or more and fewer than this share of its rows resemble its label or its
 #: commonest name.
@@ -91,23 +92,26 @@ def _subsequence(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-def _trade(token: str, trades: dict[str, list[str]]) -> str | None:
+def _trade(token: str, trades: dict[str, list[str]], spread: Mapping[str, float]) -> str | None:
     """The trade words a token is or may shorten, joined by |; '' for a generic one, None for none. ``trades`` are the
-    words by their first letter."""
+    words by their first letter; a word of the data that spreads less than a longer one may shorten that too."""
     if token in SHORT:
         return SHORT[token]
-    mine = trades.get(token[0], ())
-    if token in mine:
+    if token in _SEEDS:
         return token
     if token in GENERIC:
         return ""
+    own = spread.get(token, 0.0)
     if 2 <= len(token) <= 9:
-        fits = [w for w in mine if w in _SEEDS and len(token) < len(w) and _subsequence(token, w)]
+        fits = [
+            w for w in trades.get(token[0], ())
+            if len(token) < len(w) and (w in _SEEDS or spread.get(w, 0.0) > 2 * own > 0) and _subsequence(token, w)
+        ]
         if fits:
-            return "|".join(fits)
+            return "|".join([token, *fits] if own else fits)
         if any(token[0] == w[0] and len(token) < len(w) and _subsequence(token, w) for w in GENERIC):
             return ""
-    return None
+    return token if own else None
 
 
 def by_letter(words: Iterable[str]) -> dict[str, list[str]]:
@@ -147,7 +151,7 @@ def read_name(
         if t not in cache:
             if len(cache) > 200_000:
                 cache.clear()
-            cache[t] = _trade(t, trades)
+            cache[t] = _trade(t, trades, spread)
         trade = cache[t]
         if trade is None:
             own.append(t)
@@ -336,7 +340,7 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
     kinds = kinds.otherwise(F.when(loose, F.concat(trades, F.array(*some))).otherwise(trades))
     rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
     rows = rows.select(
-        "id", "own", "bag", "letters", bare.alias("bare"), F.xxhash64("root").alias("site"), F.col("root").isNotNull().alias("sited"), "word", "kind",
+        "id", "own", "bag", "letters", bare.alias("bare"), F.xxhash64("root").alias("site"), F.xxhash64(label).alias("label"), F.col("root").isNotNull().alias("sited"), "word", "kind",
         F.least(F.lit(SUFFIX), F.length("word")).alias("size"), F.lit("").alias("tail"),
     )
     return _keyed(rows)
@@ -389,29 +393,32 @@ def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not last:
                 now[i] = stage(_split(rows.join(common, "suffix", "left_semi")), "split")
         if last:
-            cols = ["suffix", "id", "bag", "letters", "bare", "site", "sited"]
+            cols = ["suffix", "id", "bag", "letters", "bare", "site", "label", "sited"]
             return tuple(reduce(DataFrame.unionByName, (x.select(cols) for x in d)) for d in done)
 
 
 def _match(a: DataFrame, b: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, id_b, sited, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a pair of two
-    sites, with APART. Of forms without a site each is held against later ones only."""
-    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "site", "sited")])
+    """(id, id_b, sited, sited_b, apart, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a pair of
+    two sites of different labels, with APART. Of forms without a site each is held against later ones only."""
+    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "site", "label", "sited")])
     total = F.col("letters") + F.col("letters_b")
     # letters that one of them lacks are lost to the subsequence; of words with an initial only a part is compared
     near = F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_b"))) <= total * (1 - RATIO) + 1e-6
     same = (F.col("bag") == F.col("bag_b")) & (F.col("letters") == F.col("letters_b")) & F.col("bare") & F.col("bare_b")
-    free = ~F.col("sited") & (F.col("sited_b") | (F.col("id") < F.col("id_b"))) & (near | ~F.col("bare") | ~F.col("bare_b"))
-    pairs = a.join(b, "suffix").filter(free | (F.col("sited") & F.col("sited_b") & (F.col("site") != F.col("site_b")) & same))
-    pairs = pairs.select("id", "id_b", "sited", "sited_b").distinct()
+    near = near | ~F.col("bare") | ~F.col("bare_b")
+    free = ~F.col("sited") & (F.col("sited_b") | (F.col("id") < F.col("id_b"))) & near
+    apart = F.coalesce(F.col("sited") & (F.col("label") != F.col("label_b")), F.lit(False)).alias("apart")
+    two = F.col("sited") & F.col("sited_b") & (F.col("site") != F.col("site_b")) & F.when(apart, same).otherwise(near)
+    pairs = a.join(b, "suffix").filter(free | two)
+    pairs = pairs.select("id", "id_b", "sited", "sited_b", apart).distinct()
     named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in _FORM])
     pairs = pairs.join(named(""), "id").join(named("_b"), "id_b")
     both = lambda c: (F.col(c) != "") & (F.col(c + "_b") != "")
     shared = lambda c: F.arrays_overlap(F.split(c, r"\|"), F.split(c + "_b", r"\|"))
     pairs = pairs.filter((~both("trade") | shared("trade")) & (~both("given") | shared("given")))  # keys are hashes
-    pairs = pairs.select("id", "id_b", "sited", "sited_b", both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
-    got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited boolean, sited_b boolean, stated boolean, score double")
-    return got.filter(F.col("score") >= F.when(F.col("sited"), APART).otherwise(RATIO))
+    pairs = pairs.select("id", "id_b", "sited", "sited_b", "apart", both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
+    got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited boolean, sited_b boolean, apart boolean, stated boolean, score double")
+    return got.filter(F.col("score") >= F.when(F.col("apart"), APART).otherwise(RATIO))
 
 
 def shared_hosts(sited: DataFrame) -> DataFrame:
