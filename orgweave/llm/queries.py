@@ -11,7 +11,7 @@ from orgweave.llm.mixing import mix, shares
 from orgweave.llm.names import entities, variant_pairs
 from orgweave.llm.packing import pack
 from orgweave.llm.residue import residue_pages
-from orgweave.llm.survivors import by_trust, discover
+from orgweave.llm.survivors import discover
 from orgweave.llm.tokens import with_tokens
 from orgweave.llm.wrappers import main_lines, page_lines
 from orgweave.tables import table
@@ -86,21 +86,35 @@ def _client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(last_checked AS TIMESTAMP_NTZ))"
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+# A source is a way of finding clients; rows record it with its address.
+METHOD = "coalesce(nullif(regexp_extract(source, '^[a-z_]+(?:[+][a-z_]+)*', 0), ''), '(unrecorded)')"
+
+
+def _survivors(spark: SparkSession, sf_dir: str, declared: bool) -> tuple[DataFrame, DataFrame]:
+    """Truth discovery over the client groups, with the declared trust order of rows or without."""
     level = F.lower(F.trim("confidence"))
     rank = F.when(level == "high", 0).when(level == "medium", 1).when(level == "low", 2).otherwise(3)
-    trust = [rank, -F.expr(_MICROS), F.col("client_row")]
+    trust = [rank, -F.expr(_MICROS), F.col("client_row")] if declared else []
     group = [F.min("client_row").alias("group_row"), F.count(F.lit(1)).alias("n")]
-    kept = by_trust(_client_groups(spark, sf_dir), ["agency", "entity"], FIELDS, trust, group)
+    rows = _client_groups(spark, sf_dir).withColumn("method", F.expr(METHOD))
+    return discover(rows, ["agency", "entity"], FIELDS, "method", trust, group)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors under the declared trust order."""
+    kept, _ = _survivors(spark, sf_dir, True)
     return kept.filter("n > 1").select("group_row", "field_name", "kept")
 
 
 def p4_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values that estimated source reliabilities support best, a source being a finding method."""
-    method = F.coalesce(F.nullif(F.regexp_extract("source", r"^[a-z_]+(?:\+[a-z_]+)*", 0), F.lit("")), F.lit("(unrecorded)"))
-    rows = _client_groups(spark, sf_dir).withColumn("method", method)
-    kept, _ = discover(rows, ["agency", "entity"], FIELDS, "method")
-    return kept
+    """The values that estimated source reliabilities support best."""
+    kept, _ = _survivors(spark, sf_dir, False)
+    return kept.filter("n > 1").select("group_row", "field_name", "kept", "support")
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How reliable each finding method was, measured by the survivors of the declared order."""
+    return _survivors(spark, sf_dir, True)[1]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +134,7 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_entities, p4_found, p4_truth, p5_found, p6_found, p6_kinds, p7_containers, p7_fill, p8_copies, p8_shares,
+        p3_found, p3_entities, p4_found, p4_truth, p4_sources, p5_found, p6_found, p6_kinds, p7_containers, p7_fill, p8_copies, p8_shares,
         p9_found, p9_canonical,
     )
 }
