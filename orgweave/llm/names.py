@@ -94,24 +94,25 @@ def _subsequence(short: str, word: str) -> bool:
 
 def _trade(token: str, trades: dict[str, list[str]], spread: Mapping[str, float]) -> str | None:
     """The trade words a token is or may shorten, joined by |; '' for a generic one, None for none. ``trades`` are the
-    words by their first letter; a word of the data that spreads less than a longer one may shorten that too."""
+    words by their first letter."""
     if token in SHORT:
         return SHORT[token]
     if token in _SEEDS:
         return token
     if token in GENERIC:
         return ""
-    own = spread.get(token, 0.0)
     if 2 <= len(token) <= 9:
-        fits = [
-            w for w in trades.get(token[0], ())
-            if len(token) < len(w) and (w in _SEEDS or spread.get(w, 0.0) > 2 * own > 0) and _subsequence(token, w)
-        ]
+        longer = [w for w in trades.get(token[0], ()) if len(token) < len(w) and _subsequence(token, w)]
+        fits = [w for w in longer if w in _SEEDS]
         if fits:
-            return "|".join([token, *fits] if own else fits)
+            return "|".join(fits)
         if any(token[0] == w[0] and len(token) < len(w) and _subsequence(token, w) for w in GENERIC):
             return ""
-    return token if own else None
+        if token not in spread:
+            # a word cut short is a few letters of the longer one, so that most words of names fit none
+            fits = [w for w in longer if spread.get(w, 0.0) >= LEAST and len(token) <= 5]
+            return "|".join(fits) or None
+    return token if token in spread else None
 
 
 def by_letter(words: Iterable[str]) -> dict[str, list[str]]:
@@ -176,25 +177,26 @@ def _spread(n: Column, scale: int) -> Column:
     return F.bit_or(F.when(F.pmod(F.shiftright("_site", 8), F.lit(scale)) == 0, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_b{scale}")
 
 
-_SCALES = (1, 16, 256, 4096)
+_SCALES = (1, 16, 256, 4096, 65536)
 
 
 def spread_words(df: DataFrame, name: str, domain: str) -> dict[str, float]:
     """Words that stand in names of at least LEAST sites, and of one in SPREAD: (word, about how many sites).
 
-    All names count. A word's sites are kept as sets of 64 bits at four scales (linear counting), so a row is
-    reduced before the shuffle; fewer than SPREAD times the words of a site can be returned.
+    All names count, in one pass. A word's sites are kept as sets of 64 bits at five scales (linear counting), so a
+    row is reduced before the shuffle; the sites of all words together are those of the empty word. Fewer than
+    SPREAD times the words of a site can be returned.
     """
-    src = df.filter(F.col(domain).isNotNull() & F.col(name).isNotNull()).select(
-        F.xxhash64(root_domain(domain)).alias("_site"), root_domain(domain).isNotNull().alias("_ok"),
-        F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("[a-z]{3,}"), F.lit(0))).alias("_words"),
-    ).filter("_ok")
-    sites = src.agg(F.approx_count_distinct("_site")).scalar()
-    words = src.select("_site", F.explode("_words").alias("word")).groupBy("word").agg(*[_spread(F.col("_site"), k) for k in _SCALES])
+    words = F.array_append(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("[a-z]{3,}"), F.lit(0))), F.lit(""))
+    src = df.filter(F.col(domain).isNotNull() & F.col(name).isNotNull()).select(words.alias("_words"), F.explode(F.array_compact(F.array(root_domain(domain)))).alias("_root"))
+    src = src.select(F.explode("_words").alias("word"), F.xxhash64("_root").alias("_site"))
+    bits = src.groupBy("word").agg(*[_spread(F.col("_site"), k) for k in _SCALES])
     counted = [F.when(F.bit_count(f"_b{k}") < 50, -64.0 * k * F.log(1 - F.bit_count(f"_b{k}") / 64.0)) for k in _SCALES]
-    words = words.select("word", F.coalesce(*counted, F.lit(64.0 * _SCALES[-1] * 4)).alias("sites"))
-    got = words.filter(F.col("sites") >= F.greatest(F.lit(LEAST - 0.5), sites / SPREAD)).collect()
-    return {r["word"]: r["sites"] for r in got}
+    found = bits.select("word", F.coalesce(*counted, F.lit(64.0 * _SCALES[-1] * 2)).alias("sites")).filter(F.col("sites") >= LEAST - 0.5)
+    found = stage(found, "words")
+    every = found.filter("word = ''").first()
+    least = max(LEAST - 0.5, (every["sites"] if every else 0) / SPREAD)
+    return {r["word"]: r["sites"] for r in found.filter((F.col("sites") >= least) & (F.col("word") != "")).collect()}
 
 
 _FORM = ("own", "trade", "initial", "given")
@@ -330,9 +332,8 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
     state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides, and
     so it must between two sites.
     """
-    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
     words = F.filter(F.split("own", r"\|"), lambda w: F.length(w) > 2)
-    words = F.when(F.col("root").isNull(), words).otherwise(F.array_distinct(F.concat(words, F.array(label))))
+    words = F.when(F.col("root").isNull(), words).otherwise(F.array_distinct(F.concat(words, F.array(_label("root")))))
     none, some = ([F.lit("U")], [F.lit("S")]) if first else ([F.lit("S"), F.lit("U")], [F.lit("U")])
     trades, bare = F.split("trade", r"\|"), F.col("initial") == ""
     loose = bare & F.col("root").isNull() if first else bare
@@ -340,7 +341,7 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
     kinds = kinds.otherwise(F.when(loose, F.concat(trades, F.array(*some))).otherwise(trades))
     rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
     rows = rows.select(
-        "id", "own", "bag", "letters", bare.alias("bare"), F.xxhash64("root").alias("site"), F.xxhash64(label).alias("label"), F.col("root").isNotNull().alias("sited"), "word", "kind",
+        "id", "own", "bag", "letters", bare.alias("bare"), F.col("root").isNotNull().alias("sited"), "word", "kind",
         F.least(F.lit(SUFFIX), F.length("word")).alias("size"), F.lit("").alias("tail"),
     )
     return _keyed(rows)
@@ -393,32 +394,46 @@ def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not last:
                 now[i] = stage(_split(rows.join(common, "suffix", "left_semi")), "split")
         if last:
-            cols = ["suffix", "id", "bag", "letters", "bare", "site", "label", "sited"]
+            cols = ["suffix", "id", "bag", "letters", "bare", "sited"]
             return tuple(reduce(DataFrame.unionByName, (x.select(cols) for x in d)) for d in done)
 
 
 def _match(a: DataFrame, b: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, id_b, sited, sited_b, apart, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a pair of
-    two sites of different labels, with APART. Of forms without a site each is held against later ones only."""
-    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "site", "label", "sited")])
+    """(id, id_b, sited, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO. Of forms without a
+    site each is held against later ones only; of two sites, see ``_two_sites``."""
+    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "sited")])
     total = F.col("letters") + F.col("letters_b")
     # letters that one of them lacks are lost to the subsequence; of words with an initial only a part is compared
     near = F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_b"))) <= total * (1 - RATIO) + 1e-6
-    same = (F.col("bag") == F.col("bag_b")) & (F.col("letters") == F.col("letters_b")) & F.col("bare") & F.col("bare_b")
     near = near | ~F.col("bare") | ~F.col("bare_b")
-    free = ~F.col("sited") & (F.col("sited_b") | (F.col("id") < F.col("id_b"))) & near
-    apart = F.coalesce(F.col("sited") & (F.col("label") != F.col("label_b")), F.lit(False)).alias("apart")
-    two = F.col("sited") & F.col("sited_b") & (F.col("site") != F.col("site_b")) & F.when(apart, same).otherwise(near)
-    pairs = a.join(b, "suffix").filter(free | two)
-    pairs = pairs.select("id", "id_b", "sited", "sited_b", apart).distinct()
-    named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in _FORM])
+    pairs = a.join(b, "suffix").filter(near & (F.col("sited_b") | (F.col("id") < F.col("id_b")))).select("id", "id_b", "sited", "sited_b").distinct()
+    named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in ("root", *_FORM)])
     pairs = pairs.join(named(""), "id").join(named("_b"), "id_b")
     both = lambda c: (F.col(c) != "") & (F.col(c + "_b") != "")
     shared = lambda c: F.arrays_overlap(F.split(c, r"\|"), F.split(c + "_b", r"\|"))
     pairs = pairs.filter((~both("trade") | shared("trade")) & (~both("given") | shared("given")))  # keys are hashes
-    pairs = pairs.select("id", "id_b", "sited", "sited_b", "apart", both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
+    pairs = pairs.filter(~F.col("sited") | (F.col("root") != F.col("root_b")))
+    apart = F.coalesce(F.col("sited") & (_label("root") != _label("root_b")), F.lit(False))
+    pairs = pairs.select("id", "id_b", "sited", "sited_b", apart.alias("apart"), both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
     got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited boolean, sited_b boolean, apart boolean, stated boolean, score double")
-    return got.filter(F.col("score") >= F.when(F.col("apart"), APART).otherwise(RATIO))
+    return got.filter(F.col("score") >= F.when(F.col("apart"), APART).otherwise(RATIO)).drop("apart")
+
+
+def _two_sites(sited: DataFrame, chief: DataFrame) -> DataFrame:
+    """(_from, _to): pairs of roots that are one organisation. Only roots whose label, or the words of whose commonest
+    form, another root has too can be; the commonest form of each is held against all forms of the others."""
+    words = F.array_join(F.array_sort(F.split("own", r"\|")), "|")
+    keys = chief.select("root", F.explode(F.array_distinct(F.array(F.xxhash64(_label("root")), F.xxhash64(words)))).alias("_k"))
+    twice = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k")
+    roots = stage(keys.join(twice, "_k", "left_semi").select("root").distinct(), "roots")
+    few = stage(sited.join(roots, "root", "left_semi"), "few")
+    first, second = _index(chief.join(roots, "root", "left_semi"), few)
+    links = _match(first, second, few).filter("stated")
+    return links.join(few.select("id", F.col("root").alias("_from")), "id").join(few.select(F.col("id").alias("id_b"), F.col("root").alias("_to")), "id_b").select("_from", "_to")
+
+
+def _label(root: str) -> Column:
+    return F.regexp_replace(F.substring_index(root, ".", 1), "-", "")
 
 
 def shared_hosts(sited: DataFrame) -> DataFrame:
@@ -426,7 +441,7 @@ def shared_hosts(sited: DataFrame) -> DataFrame:
     plain = sited.filter("own <> ''").select("root", F.regexp_replace("own", r"\|", "").alias("own"), "n")
     top = plain.groupBy("root").agg(F.count(F.lit(1)).alias("_forms"), F.max(F.struct("n", "own"))["own"].alias("_top")).filter(F.col("_forms") >= MANY)
     like = lambda x: F.levenshtein("own", x) * 2 <= F.greatest(F.length("own"), F.length(x))
-    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
+    label = _label("root")
     fits = plain.join(top, "root").groupBy("root").agg(
         (F.sum(F.when(like(F.col("_top")) | like(label), F.col("n")).otherwise(0)) / F.sum("n")).alias("_fit")
     )
@@ -443,51 +458,44 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     has_own = F.col("own") != ""
 
     def grouped(rows: DataFrame) -> DataFrame:
-        # a form's id is its smallest row
+        # a form's id is its smallest row; a site none of whose names has words of its own is known by its label
         got = rows.groupBy("root", *form).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("id"))
-        return got.filter(F.col("root").isNotNull() | has_own)
+        got = got.filter(F.col("root").isNotNull() | has_own).withColumn("plain", F.col("own"))
+        got = got.withColumn("own", F.when(has_own, F.col("own")).otherwise(_label("root")))
+        return stage(got.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn("letters", F.length(F.regexp_replace("own", r"\|", ""))), "forms")
 
-    forms = stage(grouped(rows), "forms")
-    shared = stage(shared_hosts(forms.filter("root IS NOT NULL")), "shared")
+    measured = grouped(rows)
+    shared = stage(shared_hosts(measured.filter("root IS NOT NULL").select("root", F.col("plain").alias("own"), "n")), "shared")
     if not shared.isEmpty():
         rows = spread_join(rows, shared.withColumn("_shared", F.lit(True)), ["root"])
         rows = stage(rows.withColumn("root", F.when(F.col("_shared").isNull(), F.col("root"))).drop("_shared"), "names")
-        forms = stage(grouped(rows), "forms")
-    # a site none of whose names has words of its own is known by its label
-    label = F.regexp_replace(F.substring_index("root", ".", 1), "-", "")
-    measured = forms.withColumn("own", F.when(has_own, F.col("own")).otherwise(label))
-    measured = measured.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn("letters", F.length(F.regexp_replace("own", r"\|", "")))
-    measured = stage(measured, "measured")
-    # of a site the commonest form seeks other sites; all of its forms are sought
-    sited = measured.filter("root IS NOT NULL")
-    chief = sited.groupBy("root").agg(F.max(F.struct("n", -F.col("id"), *[c for c in measured.columns if c not in ("root", "n")])).alias("m"))
-    chief = chief.select("root", "m.n", *[f"m.{c}" for c in measured.columns if c not in ("root", "n")]).select(measured.columns)
-    first, second = _index(measured.filter("root IS NULL").unionByName(chief), measured)
-    links = stage(_match(first, second, measured.select("id", *form)), "links")
+        measured = grouped(rows)
+    measured = measured.drop("plain")
+    sited, free = measured.filter("root IS NOT NULL"), measured.filter("root IS NULL")
+    links = stage(_match(*_index(free, measured), measured), "links")
 
     homes = sited.select(F.col("id").alias("id_b"), F.col("root").alias("home"), "n")
     fit = F.max(F.struct("stated", F.round("score", 2).alias("score"), "n", "home")).alias("m")
-    best = links.filter("NOT sited AND sited_b").join(homes, "id_b").groupBy("id").agg(fit)
+    best = links.filter("sited_b").join(homes, "id_b").groupBy("id").agg(fit)
     best = stage(best.select("id", F.col("m.home").alias("home")), "best")
     # what fits no site may fit one by way of other forms: components take the best site any of their forms reaches
-    free = links.filter("NOT sited AND NOT sited_b").select("id", "id_b", "stated", "score")
-    both = free.unionByName(free.select(F.col("id_b").alias("id"), F.col("id").alias("id_b"), "stated", "score"))
+    twos = links.filter("NOT sited_b").select("id", "id_b", "stated", "score")
+    both = twos.unionByName(twos.select(F.col("id_b").alias("id"), F.col("id").alias("id_b"), "stated", "score"))
     out = stage(both.join(best.select("id"), "id", "left_anti"), "open")
     at = best.select(F.col("id").alias("id_b"), F.col("home"))
     inner = components(out.join(at.select("id_b"), "id_b", "left_anti").filter("id < id_b"), "id", "id_b")
-    alone = measured.filter("root IS NULL").select("id").join(best.select("id"), "id", "left_anti").join(inner, "id", "left")
+    alone = free.select("id").join(best.select("id"), "id", "left_anti").join(inner, "id", "left")
     alone = stage(alone.select("id", F.coalesce("component", "id").alias("component")), "alone")
     via = out.join(at, "id_b").join(alone, "id").groupBy("component").agg(F.max(F.struct("stated", F.round("score", 2).alias("score"), "home"))["home"].alias("home"))
     rest = alone.join(via, "component", "left").select("id", "home", F.concat(F.lit("f:"), F.col("component").cast("string")).alias("entity"))
     at_site = F.concat(F.lit("s:"), F.col("home"))
     of_form = best.select("id", "home", at_site.alias("entity")).unionByName(rest.select("id", "home", F.coalesce(at_site, F.col("entity")).alias("entity")))
-    of_form = forms.filter("root IS NULL").select(*form, "id").join(of_form, "id").drop("id")
+    of_form = free.select(*form, "id").join(of_form, "id").drop("id")
     with_site = rows.filter("root IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("root")))
-    # sites of equal words and trade
-    apart = links.filter("sited AND stated").join(homes.select("id_b", F.col("home").alias("_to")), "id_b").join(
-        homes.select(F.col("id_b").alias("id"), F.col("home").alias("_from")), "id"
-    )
-    apart = stage(apart.select("_from", "_to"), "apart")
+    # roots of one organisation; of a site the commonest form seeks the others
+    chief = sited.groupBy("root").agg(F.max(F.struct("n", -F.col("id"), *[c for c in sited.columns if c not in ("root", "n")])).alias("m"))
+    chief = chief.select("root", "m.n", *[f"m.{c}" for c in sited.columns if c not in ("root", "n")]).select(sited.columns)
+    apart = stage(_two_sites(sited, chief), "apart")
     if not apart.isEmpty():
         no = chief.select("root", "id")
         ids = apart.join(no.select(F.col("root").alias("_from"), F.col("id").alias("a")), "_from").join(no.select(F.col("root").alias("_to"), F.col("id").alias("b")), "_to")
