@@ -119,20 +119,34 @@ def path_depth(url: Column | str) -> Column:
     return F.size(F.filter(F.split(url_part(url, 3), "/"), lambda x: x != ""))
 
 
+def _undot(path: Column) -> Column:
+    """Path with its dot segments resolved: '.' stands for nothing, '..' takes the segment before it off."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    full = F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.regexp_replace(full, "^//", "/")).otherwise(path)
+
+
 def url_join(base: Column | str, ref: Column | str) -> Column:
-    """Reference resolution without dot segments (those are kept as written)."""
+    """Reference resolution, dot segments included."""
     base, ref = col(base), col(ref)
     scheme, host, path = url_part(base, 1), url_part(base, 2), url_part(base, 3)
     origin = F.concat(scheme, F.lit("://"), host)
     folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), r"[^/]*$", "")
+    own, rest = F.regexp_extract(ref, r"^[^?#]*", 0), F.regexp_extract(ref, r"[?#][\s\S]*$", 0)
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
+        .when(ref.startswith("/"), F.concat(origin, _undot(own), rest))
         .when(ref == "", F.regexp_replace(base, r"#[\s\S]*$", ""))
         .when(ref.startswith("?"), F.concat(origin, path, ref))
         .when(ref.startswith("#"), F.concat(F.regexp_replace(base, r"#[\s\S]*$", ""), ref))
-        .otherwise(F.concat(origin, folder, ref))
+        .otherwise(F.concat(origin, _undot(F.concat(folder, own)), rest))
     )
 
 

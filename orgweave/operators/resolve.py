@@ -71,8 +71,7 @@ def reconcile(clients: DataFrame) -> DataFrame:
         take = acc["derived"] | fuller
         return F.struct(F.when(take, x["n_name"]).otherwise(acc["name"]).alias("name"), F.when(take, F.lit(False)).otherwise(acc["derived"]).alias("derived"))
 
-    empty = F.array().cast("array<struct<n_seq:bigint,n_name:string>>")
-    j = j.withColumn("_f", F.aggregate(F.coalesce(F.col("_names"), empty), start, step))
+    j = j.withColumn("_f", F.coalesce(F.aggregate(F.col("_names"), start, step), start))
     merged = j.select(
         "agency", "key", "seq", F.col("_f.name").alias("client_name"), "client_domain", F.least("rank", F.coalesce("_rank", "rank")).alias("rank"),
         "source", F.array_sort(F.array_union("methods", F.coalesce("_methods", "methods"))).alias("methods"), F.col("_f.derived").alias("derived"),
@@ -92,16 +91,22 @@ def promote(clients: DataFrame) -> DataFrame:
 def attach_domains(clients: DataFrame) -> DataFrame:
     """A client without a domain takes that of the first linked one of its agency which shares its tokens:
     min(2, all) of them with the domain, or all of them with the name."""
-    c = clients.withColumn("_k", F.array_distinct(F.split(name_key("client_name"), " ")))
-    linked = c.filter("client_domain IS NOT NULL").select(
-        "agency", F.col("seq").alias("l_seq"), F.col("client_domain").alias("l_domain"), F.col("_k").alias("l_key"),
-        tokens(F.substring_index(F.col("client_domain"), ".", 1)).alias("l_toks"),
-    )
-    linked = linked.withColumn("_t", F.explode(F.array_union("l_key", "l_toks")))
-    named = c.filter("client_domain IS NULL").select("agency", "seq", "_k").withColumn("_t", F.explode("_k"))
-    shared = F.size(F.array_intersect("_k", "l_toks"))
-    fits = ((shared > 0) & (shared >= F.least(F.lit(2), F.size("_k")))) | (F.array_sort("_k") == F.array_sort("l_key"))
-    hit = named.join(linked, ["agency", "_t"]).filter(fits).groupBy("agency", "seq").agg(F.min_by("l_domain", "l_seq").alias("_d"))
+    c = clients.withColumn("_k", F.array_sort(F.array_distinct(F.split(name_key("client_name"), " "))))
+    toks = F.array_sort(F.array_distinct(tokens(F.substring_index(F.col("client_domain"), ".", 1))))
+    linked = c.filter("client_domain IS NOT NULL").select("agency", F.struct("seq", F.col("client_domain").alias("d")).alias("_l"), "_k", toks.alias("_t"))
+
+    # the predicate is equality of keys: the whole name, its one token, or a pair of its tokens
+    def pairs(t: Column) -> Column:
+        return F.flatten(F.transform(t, lambda a: F.transform(F.filter(t, lambda b: b > a), lambda b: F.concat(F.lit("2 "), a, F.lit(" "), b))))
+
+    whole = F.concat(F.lit("= "), F.array_join("_k", " "))
+    one = lambda t: F.transform(t, lambda x: F.concat(F.lit("1 "), x))
+    theirs = linked.select("agency", "_l", F.explode(F.concat(F.array(whole), one(F.col("_t")), pairs(F.col("_t")))).alias("_key"))
+    # of equal keys the first linked client counts, so a hot key is one row before the join
+    theirs = theirs.groupBy("agency", "_key").agg(F.min("_l").alias("_l"))
+    mine = F.concat(F.array(whole), F.when(F.size("_k") == 1, one(F.col("_k"))).otherwise(pairs(F.col("_k"))))
+    named = c.filter("client_domain IS NULL").select("agency", "seq", F.explode(F.array_distinct(mine)).alias("_key"))
+    hit = named.join(theirs, ["agency", "_key"]).groupBy("agency", "seq").agg(F.min("_l")["d"].alias("_d"))
     j = c.join(hit, ["agency", "seq"], "left").drop("_k")
     note = F.when(F.col("_d").isNotNull(), F.concat("source", F.lit(" | domain matched to "), "_d")).otherwise(F.col("source"))
     return j.withColumn("source", note).withColumn("client_domain", F.coalesce("client_domain", "_d")).drop("_d")

@@ -19,9 +19,9 @@ def extract_records(pages: DataFrame) -> DataFrame:
     parts = [EXTRACTORS[m](pages).withColumn("_m", F.lit(i)) for i, m in enumerate(methods)]
     every = reduce(DataFrame.unionByName, parts)
     own = pages.select("page_id", F.col("agency_domain").alias("agency"))
-    seq = F.col("page_id") * 100_000 + F.col("_m") * 10_000 + F.col("ord")
+    seq = F.struct("page_id", F.col("_m").alias("method"), "ord")  # no place on a page can meet another's
     return every.join(own, "page_id").filter("agency IS NOT NULL").select(
-        "agency", seq.cast("bigint").alias("seq"), "client_name", "client_domain", "source", "confidence", "method", "derived"
+        "agency", seq.alias("seq"), "client_name", "client_domain", "source", "confidence", "method", "derived"
     )
 
 

@@ -285,10 +285,29 @@ _simple(
     rf"SELECT agency_row, coalesce(n IN ({_NETS}) OR regexp_matches(n, '\b(?:{_LONG})\b'), false) AS network FROM (SELECT agency_row, lower(trim({_NET})) AS n FROM agencies)",
     network=lambda: N.is_network(F.expr("CASE WHEN agency_row % 7 = 0 THEN concat('Publicis ', agency_name) WHEN agency_row % 7 = 1 THEN ' WPP ' ELSE agency_name END")),
 )
-_simple("pasted_list", "documents", "doc_id", "", listed=lambda: H.is_list("text"))
-_simple("sentence_context", "documents", "doc_id", "", context=lambda: H.sentence_around("text", r"(?i)\bTikTok\b"))
-for _n in ("pasted_list", "sentence_context"):
-    del ORACLE[_n]
+
+
+def _sentence(text: str, pattern: str, hit: int) -> str:
+    """SQL of the sentence around the first match of a pattern that is ``hit`` characters long."""
+    at = f"length(regexp_extract({text}, '^(.*?){pattern}', 1, 'is'))"
+    left = f"greatest({at} - 180, 0)"
+    window = f"substr({text}, {left} + 1, {at} - {left} + {hit} + 180)"
+    parts = rf"string_split(regexp_replace({window}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    best = f"coalesce(list_filter({parts}, lambda p: regexp_matches(p, '{pattern}', 'i'))[1], {window})"
+    return f"CASE WHEN regexp_matches({text}, '{pattern}', 'i') THEN substr(regexp_replace({_sq(best)}, '^[ .]+|[ .]+$', '', 'g'), 1, 240) END"
+
+
+_simple("sentence_context", "documents", "doc_id", rf"SELECT doc_id, {_sentence('text', r'\bclient', 6)} AS context FROM documents", context=lambda: H.sentence_around("text", r"(?i)\bclient"))
+_LISTED = "regexp_replace(CASE WHEN score_row % 3 = 0 THEN qualifying_client_domains || ' and a line of prose; more prose; still more' ELSE qualifying_client_domains END, '[|;, ]+', chr(10), 'g')"
+_LINES = rf"list_filter(list_transform(regexp_split_to_array(coalesce(t, ''), '\r\n|\n|\r'), lambda x: {_sq('x')}), lambda x: x <> '')"
+_FIRST = "lower(regexp_replace(regexp_replace(trim(regexp_split_to_array(x, '[,\t]')[1]), '^[\"'']+|[\"'']+$', '', 'g'), '^https?://', '', 'i'))"
+_simple(
+    "pasted_list", "agency_scorecard", "score_row",
+    rf"""SELECT score_row, len(l) > 0 AND len(l) <= 2000 AND NOT (contains(coalesce(t, ''), '<') AND contains(coalesce(t, ''), '>'))
+AND len(list_filter(l, lambda x: regexp_matches({_FIRST}, '^(?:[a-z0-9][a-z0-9-]*\.)+[a-z]{{2,24}}(?:[/:?#].*)?$'))) >= greatest(1, floor(len(l) * 0.6)) AS listed
+FROM (SELECT score_row, t, {_LINES} AS l FROM (SELECT score_row, {_LISTED} AS t FROM agency_scorecard))""",
+    listed=lambda: H.is_list(F.expr(_LISTED.replace(", 'g')", ")").replace("chr(10)", "'\\n'"))),
+)
 
 
 def url_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

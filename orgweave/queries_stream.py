@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orgweave.plans import pipeline
 from orgweave.queries_data import _root
+from orgweave.queries_scalar import _canonical
 from orgweave.queries_tables import _score_sql
 from orgweave.sources import captured
 from orgweave.staging import shared_dir
@@ -89,12 +90,19 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT client_row AS row, 0 AS ord, trim(coalesce(client_name, '')) AS name, {_root('client_domain')} AS domain FROM clients
-WHERE (trim(client_domain) <> '' OR (client_domain IS NOT NULL AND trim(client_name) <> '' AND length(client_name) < 80)) AND ({_root('client_domain')} IS NOT NULL OR trim(client_name) <> '')"""
+    f"""WITH c AS (SELECT client_row AS row, trim(coalesce(client_name, '')) AS name, {_root('client_domain')} AS own, {_root('agency_domain')} AS agency, client_domain, agency_domain, trim(coalesce(agency_name, '')) AS an FROM clients),
+v AS (SELECT row, 0 AS ord, name, coalesce(own, CASE WHEN row % 4 = 0 THEN 'spare.test' END) AS domain FROM c WHERE client_domain IS NOT NULL OR row % 4 = 0
+UNION ALL SELECT row, CASE WHEN client_domain IS NOT NULL OR row % 4 = 0 THEN 1 ELSE 0 END, an, agency FROM c WHERE agency_domain IS NOT NULL)
+SELECT * FROM v WHERE domain IS NOT NULL OR (name <> '' AND length(name) < 80)"""
 )
 def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and domains anywhere in JSON trees derived from client rows."""
-    c = table(spark, sf_dir, "clients").select("client_row", F.to_json(F.struct(F.struct(F.struct(F.col("client_name").alias("name"), F.col("client_domain").alias("website")).alias("item")).alias("a"))).alias("js"))
+    item = F.struct(
+        F.col("client_name").alias("company_name"), F.col("client_domain").alias("website"),
+        F.when(F.col("client_row") % 4 == 0, "https://spare.test/x").alias("link"), F.array(F.lit(1), F.lit(2)).alias("counts"),
+    )
+    agency = F.array(F.struct(F.struct(F.col("agency_name").alias("displayName"), F.col("agency_domain").alias("partner_url")).alias("node")))
+    c = table(spark, sf_dir, "clients").select("client_row", F.to_json(F.struct(F.struct(item.alias("item")).alias("a"), agency.alias("edges"))).alias("js"))
     return captured.json_pairs(c, "client_row", "js")
 
 
@@ -116,8 +124,7 @@ def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT site, url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS rn FROM (SELECT DISTINCT {_root('url')} AS site, url FROM pages) WHERE site IS NOT NULL)
-WHERE rn <= 32"""
+    f"""SELECT DISTINCT site, {_canonical('url')} AS url FROM (SELECT {_root('url')} AS site, url FROM pages) WHERE site IS NOT NULL"""
 )
 def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of each site from sitemaps made of its pages: one index, one map of pages."""
@@ -125,6 +132,6 @@ def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "pages").select(root_domain("url").alias("site"), "url").dropna().distinct()
     maps = p.groupBy("site").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_set("url")), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), ""), F.lit("</urlset>")).alias("text"))
-    leaf = maps.select("site", F.concat(F.lit("https://"), "site", F.lit("/pages.xml")).alias("url"), "text")
-    index = leaf.select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<loc>"), "url", F.lit("</loc>")).alias("text"))
+    leaf = maps.select("site", F.concat(F.lit("https://"), "site", F.lit("/pages-of-site")).alias("url"), "text")
+    index = leaf.select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex><loc>"), "url", F.lit("</loc></sitemapindex>")).alias("text"))
     return captured.sitemap_urls(leaf.unionByName(index))
