@@ -1,14 +1,16 @@
 """Several values packed in one field: one row a value, position kept.
 
-A list is read by a grammar of ordered alternatives: a quoted value (which must end before a separator, a
-closing bracket or the end; else the parser goes back and reads the quote as an ordinary character), a
-bracketed list's brackets (skipped), a bare value. Which characters separate depends on the style:
+A list is read by a grammar of ordered alternatives for each item: a quoted value (which must end before a separator,
+a closing bracket or the end; else the parser goes back and reads the quote as an ordinary character), a bracketed
+value (one pair of brackets around one value, separators inside included, before a separator or the end; else the
+brackets are read as ordinary marks), a bare value. Which characters separate depends on the style:
 
-* ``tokens``   values without blanks, such as ids and domains: blanks, | , ; and a spaced / separate, and
-  an enclosing [ ] is dropped;
+* ``tokens``   values without blanks, such as ids and domains: blanks, | , ; and a spaced / separate; brackets
+  around the whole string enclose the list;
 * ``evidence`` values of the shape ``[kind] url :: context``: a run of | or ;, or a line end, separates
-  when another such value, or nothing, follows it;
-* ``notes``    ``key=value`` items and remarks: one separator a string, found first (line end, ||, | or ;).
+  when another such value, or nothing, follows it (its brackets belong to the value);
+* ``notes``    ``key=value`` items and remarks: one separator a string. The list is an ordered choice too: by line
+  ends, by ||, by | or by ;, each behind a predicate that must hold for the whole string.
 
 Defined results: NULL and blank strings give no row; empty values are dropped and not counted;
 repeated values are kept; very long strings are read whole. ``malformed`` is true on a value that starts
@@ -23,14 +25,22 @@ from pyspark.sql import functions as F
 from orgweave.operators.peg import BLANK, END, QUOTED, Peg, chars, runs, token
 
 
-def _list_of(boundary: Peg, bare: Peg) -> str:
-    """Pattern for one item behind blanks: quoted and then a boundary, else bare."""
-    return (BLANK + ((QUOTED + (BLANK + boundary).ahead()) / bare)).java
+def _list_of(boundary: Peg, bare: Peg, bracketed: Peg | None = None) -> str:
+    """Pattern for one item behind blanks: quoted and then a boundary, bracketed and then a boundary, else bare."""
+    ends = (BLANK + boundary).ahead()
+    item = QUOTED + ends
+    if bracketed is not None:
+        item = item / (bracketed + ends)
+    return (BLANK + (item / bare)).java
 
 
 # Blanks, pipes, commas and semicolons separate; brackets only enclose. A lone slash is dropped later.
 _TOKEN_STOP = r"\s|,;\[\]"
-_TOKENS = _list_of(chars(_TOKEN_STOP) / END, runs("^" + _TOKEN_STOP, 1))
+#: One value in brackets of its own: no bracket within, and something beside it in the list.
+_BRACKETED = token(r"\[(?:[^\[\]\"]++|\"[^\"]*+\")++\]")
+_TOKENS = _list_of(chars(_TOKEN_STOP) / END, runs("^" + _TOKEN_STOP, 1), _BRACKETED)
+#: Brackets around the whole string.
+_ENCLOSED = r"^\s*+\[([^\[\]]*+)\]\s*+$"
 
 _KIND = token(r'"?+\[[A-Za-z_]++\]\s')
 _EVIDENCE_SEP = chars(r"|;\n")
@@ -82,7 +92,8 @@ def packed_items(value: Column, style: str) -> Column:
         return F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
 
     if style == "tokens":
-        raw = cut(_TOKENS)
+        inner = F.when(value.rlike(_ENCLOSED), F.regexp_extract(value, _ENCLOSED, 1)).otherwise(value)
+        raw = F.regexp_extract_all(inner, F.lit(_TOKENS), F.lit(0))
     elif style == "evidence":
         raw = cut(_EVIDENCE)
     elif style == "notes":
@@ -95,6 +106,8 @@ def packed_items(value: Column, style: str) -> Column:
 
     def clean(x: Column) -> Column:
         x = F.regexp_replace(x, r"^\s+|\s+$", "")
+        if style == "tokens":
+            x = F.regexp_replace(F.regexp_replace(x, r"^\[([^\[\]]*+)\]$", "$1"), r"^\s+|\s+$", "")
         whole = x.rlike("^" + QUOTED.java + r"\z")
         inner = F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')
         return F.struct(

@@ -50,7 +50,23 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_pairs": p1_pairs, "p2_found": p2_found}
+def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two fields of ids and domains, whose lists SQL can split too."""
+    return p2_values(spark, sf_dir).filter("field_name IN ('results.gtm_ids', 'agency_scorecard.qualifying_client_domains')").drop("malformed")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the split of each field: positions count from 1 without gaps, no empty value, no blank or lone mark."""
+    v = p2_values(spark, sf_dir).groupBy("field_name", "row_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_if(F.trim("item") == "").alias("empty"),
+        F.count_if(F.col("item") != F.trim("item")).alias("padded"),
+    )
+    return v.groupBy("field_name").agg(
+        F.count(F.lit(1)).alias("strings"), F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n"))).alias("gaps"), F.sum("empty").alias("empty"), F.sum("padded").alias("padded")
+    )
+
+
+QUERIES = {"p2_values": p2_values, "p2_tokens": p2_tokens, "p2_counts": p2_counts, "p1_found": p1_found, "p1_report": p1_report, "p1_pairs": p1_pairs, "p2_found": p2_found}
 
 
 def _root(c: str) -> str:
@@ -76,7 +92,20 @@ WHERE root IS NOT NULL AND ingested_at IS NOT NULL AND NOT EXISTS (
   AND s.t < date_trunc('month', refs.ingested_at) + INTERVAL 1 MONTH
   AND (s.gone IS NULL OR s.gone >= date_trunc('month', refs.ingested_at) + INTERVAL 1 MONTH))"""
 
+def _tokens(tab: str, row: str, col: str) -> str:
+    items = rf"regexp_extract_all(v, '\"(?:[^\"]|\"\")*\"|\[[^\[\]]*\]|[^\s|,;\[\]]+')"
+    plain = f"list_filter(list_transform({items}, lambda x: trim(trim(x, '[]\"'), ' ')), lambda x: x NOT IN ('', '/'))"
+    return rf"""SELECT '{tab}.{col}' AS field_name, row_id, generate_subscripts(l, 1)::INT AS pos, unnest(l) AS item FROM (SELECT row_id, {plain} AS l FROM (
+SELECT {row} AS row_id, CASE WHEN regexp_full_match({col}, '\s*\[[^\[\]]*\]\s*') THEN trim(trim({col}), '[]') ELSE {col} END AS v FROM {tab} WHERE trim({col}) <> ''))"""
+
+
+def _strings(tab: str, col: str) -> str:
+    return f"SELECT '{tab}.{col}' AS field_name, count(*) AS strings, 0 AS gaps, 0 AS empty, 0 AS padded FROM {tab} WHERE regexp_matches({col}, '[^\\s\\[\\]|,;/\"]')"
+
+
 ORACLE = {
+    "p2_tokens": " UNION ALL ".join([_tokens("results", "result_row", "gtm_ids"), _tokens("agency_scorecard", "score_row", "qualifying_client_domains")]),
+    "p2_counts": " UNION ALL ".join(_strings(t, c) for t, c, _, _ in PACKED),
     "p1_found": _P1,
     "p1_report": f"SELECT ref_field, period, count(*) AS dangling FROM ({_P1}) GROUP BY ALL",
     "p1_pairs": f"""

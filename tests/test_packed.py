@@ -141,3 +141,19 @@ def test_very_long_strings(spark):
             assert got[1] == 1 and got[4] == n
         if style == "notes":
             assert got[2] == 2 and got[3] == 2
+
+
+def test_brackets_and_malformed(spark):
+    """A bracketed value keeps the separators inside it; brackets around the whole string enclose a list; what has no
+    partner is an ordinary mark."""
+    cases = {
+        "[GTM-A; GTM-B]": ["GTM-A", "GTM-B"], "GTM-A; [GTM-B, left]; GTM-C": ["GTM-A", "GTM-B, left", "GTM-C"], "[GTM-A] [GTM-B]": ["GTM-A", "GTM-B"],
+        '["a b"]': ["a b"], "GTM-A, [GTM-B": ["GTM-A", "GTM-B"], "GTM-A], GTM-B": ["GTM-A", "GTM-B"], "[]": [], '"a;b" ; "c': ["a;b", '"c'], '["x", y]': ["x", "y"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i bigint, v string")
+    got = {}
+    for r in split_packed(df, "v", "i", "tokens").orderBy("row_id", "pos").collect():
+        got.setdefault(r.row_id, []).append((r.item, r.malformed))
+    for i, (text, want) in enumerate(cases.items()):
+        assert [x for x, _ in got.get(i, [])] == want, text
+    assert got[7][1] == ('"c', True)
