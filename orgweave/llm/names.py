@@ -50,8 +50,6 @@ NOISE = frozenset(
 )
 #: A word is one of trades where it stands in names of so many sites: at least LEAST, and one in SPREAD of all.
 LEAST, SPREAD = 4, 2000
-#: Sites of two roots whose labels differ are one organisation at this ratio of their words.
-APART = 1.0
 #: A host is shared if it has MANY forms or more and fewer than this share of its rows resemble its label or its
 #: commonest name.
 MANY, RESEMBLE = 5, 0.3
@@ -177,13 +175,13 @@ def _spread(n: Column, scale: int) -> Column:
     return F.bit_or(F.when(F.pmod(F.shiftright("_site", 8), F.lit(scale)) == 0, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_b{scale}")
 
 
-_SCALES = (1, 16, 256, 4096, 65536)
+_SCALES = (1, 32, 1024, 32768)
 
 
 def spread_words(df: DataFrame, name: str, domain: str) -> dict[str, float]:
     """Words that stand in names of at least LEAST sites, and of one in SPREAD: (word, about how many sites).
 
-    All names count, in one pass. A word's sites are kept as sets of 64 bits at five scales (linear counting), so a
+    All names count, in one pass. A word's sites are kept as sets of 64 bits at four scales (linear counting), so a
     row is reduced before the shuffle; the sites of all words together are those of the empty word. Fewer than
     SPREAD times the words of a site can be returned.
     """
@@ -329,16 +327,16 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
 
     Trades are part of the key, as only forms whose trades don't exclude each other are compared: ``first``
     forms that state one meet seconds that state the same, and seconds that state none (S); first forms that
-    state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides, and
-    so it must between two sites.
+    state none meet all (U). An initial is little to go by: with one the trade must be stated on both sides.
     """
     words = F.filter(F.split("own", r"\|"), lambda w: F.length(w) > 2)
-    words = F.when(F.col("root").isNull(), words).otherwise(F.array_distinct(F.concat(words, F.array(_label("root")))))
+    # a label that ends in one of the words has that word's suffixes
+    label = F.when(F.col("root").isNotNull() & ~F.exists(words, lambda w: F.endswith(_label("root"), w)), _label("root"))
+    words = F.concat(words, F.array_compact(F.array(label)))
     none, some = ([F.lit("U")], [F.lit("S")]) if first else ([F.lit("S"), F.lit("U")], [F.lit("U")])
     trades, bare = F.split("trade", r"\|"), F.col("initial") == ""
-    loose = bare & F.col("root").isNull() if first else bare
-    kinds = F.when(F.col("trade") == "", F.when(loose, F.array(*none)).otherwise(F.array().cast("array<string>")))
-    kinds = kinds.otherwise(F.when(loose, F.concat(trades, F.array(*some))).otherwise(trades))
+    kinds = F.when(F.col("trade") == "", F.when(bare, F.array(*none)).otherwise(F.array().cast("array<string>")))
+    kinds = kinds.otherwise(F.when(bare, F.concat(trades, F.array(*some))).otherwise(trades))
     rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
     rows = rows.select(
         "id", "own", "bag", "letters", bare.alias("bare"), F.col("root").isNotNull().alias("sited"), "word", "kind",
@@ -399,37 +397,51 @@ def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _match(a: DataFrame, b: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, id_b, sited, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO. Of forms without a
-    site each is held against later ones only; of two sites, see ``_two_sites``."""
+    """(id, id_b, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a's have no site, and of
+    two without a site each is held against later ones only."""
     b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "sited")])
+    pairs = a.join(b, "suffix").filter(_near() & (F.col("sited_b") | (F.col("id") < F.col("id_b")))).select("id", "id_b", "sited_b").distinct()
+    return _compared(pairs, forms)
+
+
+def _near() -> Column:
+    """Letters that one of two words lacks are lost to their subsequence; of words with an initial only a part is compared."""
     total = F.col("letters") + F.col("letters_b")
-    # letters that one of them lacks are lost to the subsequence; of words with an initial only a part is compared
     near = F.bit_count(F.col("bag").bitwiseXOR(F.col("bag_b"))) <= total * (1 - RATIO) + 1e-6
-    near = near | ~F.col("bare") | ~F.col("bare_b")
-    pairs = a.join(b, "suffix").filter(near & (F.col("sited_b") | (F.col("id") < F.col("id_b")))).select("id", "id_b", "sited", "sited_b").distinct()
-    named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in ("root", *_FORM)])
+    return near | ~F.col("bare") | ~F.col("bare_b")
+
+
+def _compared(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """pairs (id, id_b, sited_b), those kept whose trades and given names don't exclude each other, with ``stated`` (both
+    state a trade) and the LCS ratio, RATIO at least, as ``score``."""
+    named = lambda x: forms.select(F.col("id").alias("id" + x), *[F.col(c).alias(c + x) for c in _FORM])
     pairs = pairs.join(named(""), "id").join(named("_b"), "id_b")
     both = lambda c: (F.col(c) != "") & (F.col(c + "_b") != "")
     shared = lambda c: F.arrays_overlap(F.split(c, r"\|"), F.split(c + "_b", r"\|"))
     pairs = pairs.filter((~both("trade") | shared("trade")) & (~both("given") | shared("given")))  # keys are hashes
-    pairs = pairs.filter(~F.col("sited") | (F.col("root") != F.col("root_b")))
-    apart = F.coalesce(F.col("sited") & (_label("root") != _label("root_b")), F.lit(False))
-    pairs = pairs.select("id", "id_b", "sited", "sited_b", apart.alias("apart"), both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
-    got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited boolean, sited_b boolean, apart boolean, stated boolean, score double")
-    return got.filter(F.col("score") >= F.when(F.col("apart"), APART).otherwise(RATIO)).drop("apart")
+    pairs = pairs.select("id", "id_b", "sited_b", both("trade").alias("stated"), "own", "initial", "own_b", "initial_b")
+    got = pairs.mapInArrow(_ratios, "id bigint, id_b bigint, sited_b boolean, stated boolean, score double")
+    return got.filter(F.col("score") >= RATIO)
 
 
 def _two_sites(sited: DataFrame, chief: DataFrame) -> DataFrame:
-    """(_from, _to): pairs of roots that are one organisation. Only roots whose label, or the words of whose commonest
-    form, another root has too can be; the commonest form of each is held against all forms of the others."""
+    """(_from, _to): pairs of roots that are one organisation: those whose commonest forms have the same words, trade and
+    given names (each tied to the smallest root, so a word at many roots makes no pairs), and those of one label (as
+    many as there are endings), a similar name and an overlapping trade."""
     words = F.array_join(F.array_sort(F.split("own", r"\|")), "|")
-    keys = chief.select("root", F.explode(F.array_distinct(F.array(F.xxhash64(_label("root")), F.xxhash64(words)))).alias("_k"))
-    twice = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k")
-    roots = stage(keys.join(twice, "_k", "left_semi").select("root").distinct(), "roots")
-    few = stage(sited.join(roots, "root", "left_semi"), "few")
-    first, second = _index(chief.join(roots, "root", "left_semi"), few)
-    links = _match(first, second, few).filter("stated")
-    return links.join(few.select("id", F.col("root").alias("_from")), "id").join(few.select(F.col("id").alias("id_b"), F.col("root").alias("_to")), "id_b").select("_from", "_to")
+    keys = chief.filter("trade <> ''").select("root", F.explode(F.split("trade", r"\|")).alias("_t"), words.alias("_w"), "given")
+    least = keys.groupBy("_t", "_w", "given").agg(F.min("root").alias("_to"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    equal = keys.join(least, ["_t", "_w", "given"]).filter("root <> _to").select(F.col("root").alias("_from"), "_to")
+    label = _label("root").alias("_l")
+    twice = chief.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_l")
+    stated = lambda df: df.filter("trade <> ''").withColumn("bare", F.col("initial") == "").withColumn("_l", label)
+    few = stage(stated(sited).join(twice, "_l", "left_semi"), "few")
+    a = stated(chief).join(twice, "_l", "left_semi").select("_l", "id", "root", "bag", "letters", "bare")
+    b = few.select("_l", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "bag", "letters", "bare")])
+    pairs = a.join(b, "_l").filter(_near() & (F.col("root") != F.col("root_b"))).select("id", "id_b", F.lit(True).alias("sited_b"))
+    alike = _compared(pairs, few.select("id", *_FORM)).filter("stated")
+    alike = alike.join(few.select("id", F.col("root").alias("_from")), "id").join(few.select(F.col("id").alias("id_b"), F.col("root").alias("_to")), "id_b")
+    return equal.unionByName(alike.select("_from", "_to")).distinct()
 
 
 def _label(root: str) -> Column:
