@@ -5,6 +5,10 @@ A batch's UTF-8 bytes become one array of code points. A lookup table gathers ea
 characters; one blank for all kinds), expansion offsets place those of several points, combining marks are
 put in canonical order and composed with their letters, blanks are squeezed, and the array is encoded again.
 
+Joiners are kept between characters they shape (Arabic and Indic letters, emoji) and dropped elsewhere; overrides of
+direction are kept, as they turn letters round. Further look-alikes can be given as ``extra``, or read from the public
+confusables file (``read_confusables``).
+
 Defined results: NULL stays NULL, the empty text stays empty, a text of invisible characters and blanks
 alone becomes empty; texts of any length are read whole, in slices of rows of about ``SLICE`` bytes.
 Line ends stay line ends; other runs of blanks become one, and none stand beside a line end.
@@ -40,12 +44,24 @@ LOOKALIKES = {
     # Armenian, Latin letters of the phonetic alphabet, kana drawn alike, hyphens
     "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S", "ɡ": "g", "ɑ": "a", "ɩ": "i", "へ": "ヘ", "り": "リ",
     "‐": "-", "‑": "-",
+    # Cherokee, small capitals that are drawn like the small letter
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G",
+    "Ꮓ": "Z", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "Ꮷ": "d",
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
 }
 LOOKALIKES["Һ"] = "H"
 #: Kinds of compatibility forms that differ from their letters in width or joining only.
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 #: Of <compat>, spacing accents and dotted leaders differ visibly from what they decompose to.
 _BLANKS = "\t\x0b\x0c\x85"
+_ZWNJ, _ZWJ = 0x200C, 0x200D
+#: Characters that stay although they are invisible, as what stands beside them looks different with them.
+_KEPT = "\u200c\u200d\u202d\u202e"
+
+
+def shaped(i: int) -> bool:
+    """Whether a joiner beside this point can change what is drawn."""
+    return 0x0600 <= i <= 0x0DFF or 0x0F00 <= i <= 0x109F or 0x1780 <= i <= 0x18AF or 0xA800 <= i <= 0xABFF or 0x2190 <= i <= 0x27BF or 0x2B00 <= i <= 0x2BFF or 0x1F000 <= i <= 0x1FAFF
 
 
 def _parts(ch: str) -> str:
@@ -57,12 +73,16 @@ def _parts(ch: str) -> str:
         return " "
     if cat in ("Zl", "Zp"):
         return "\n"
+    if ch in _KEPT:
+        return ch
     if cat in ("Cf", "Cc") or ch in "͏ᅟᅠㅤﾠ" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF:
         return ""
     if 0xAC00 <= ord(ch) <= 0xD7A3:
         return ch
     kind = u.decomposition(ch).partition(" ")
     if kind[0].startswith("<"):
+        if kind[0] == "<font>" and u.name(ch, "").startswith(("MATHEMATICAL SANS-SERIF CAPITAL", "MATHEMATICAL SANS-SERIF SMALL", "MATHEMATICAL SANS-SERIF DIGIT", "MATHEMATICAL MONOSPACE")):
+            return chr(int(kind[2], 16))  # drawn like the letter of a plain typeface
         if kind[0] not in _SAME_LOOK:
             return ch
         out = "".join(chr(int(x, 16)) for x in kind[2].split())
@@ -74,12 +94,26 @@ def _parts(ch: str) -> str:
     return LOOKALIKES.get(ch, ch)
 
 
+def read_confusables(path: str) -> dict[str, str]:
+    """Single characters and what they are drawn like, from the public file of lines ``hex ; hex hex ; type``; those of
+    ASCII stay themselves."""
+    got = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            cells = [x.strip() for x in line.partition("#")[0].split(";")]
+            if len(cells) >= 2 and cells[0] and " " not in cells[0] and int(cells[0], 16) > 0x7F:
+                got[chr(int(cells[0], 16))] = "".join(chr(int(x, 16)) for x in cells[1].split())
+    return got
+
+
 class _Tables:
-    def __init__(self) -> None:
+    def __init__(self, extra: tuple[tuple[str, str], ...] = ()) -> None:
+        more = dict(extra)
         size = 0x110000
         self.start = np.zeros(size, np.int32)  # into ``flat``, for points with another replacement
         self.count = np.ones(size, np.int8)
         self.plain = np.ones(size, bool)
+        self.shapes = np.zeros(size, bool)
         flat: list[int] = []
         marks = np.zeros(size, np.uint8)
         pairs: dict[int, int] = {}
@@ -88,7 +122,8 @@ class _Tables:
             if u.category(ch) == "Cn":
                 continue
             marks[i] = u.combining(ch)
-            new = _parts(ch)
+            new = more.get(ch) or _parts(ch)
+            self.shapes[i] = shaped(i)
             if new != ch:
                 self.plain[i] = False
                 self.start[i], self.count[i] = len(flat), len(new)
@@ -105,8 +140,23 @@ class _Tables:
 
 
 @functools.cache
-def _tables() -> _Tables:
-    return _Tables()
+def _tables(extra: tuple[tuple[str, str], ...] = ()) -> _Tables:
+    return _Tables(extra)
+
+
+def _join(cp: np.ndarray, row: np.ndarray, t: _Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Joiners kept once, and only between two points of a text that they shape."""
+    at = (cp == _ZWNJ) | (cp == _ZWJ)
+    if not at.any():
+        return cp, row
+    same = np.r_[False, (row[1:] == row[:-1]) & (cp[1:] == cp[:-1])]
+    keep = ~(at & same)
+    cp, row, at = cp[keep], row[keep], at[keep]
+    ok = t.shapes[cp]
+    before = np.r_[False, ok[:-1] & (row[1:] == row[:-1])]
+    after = np.r_[ok[1:] & (row[1:] == row[:-1]), False]
+    keep = ~at | (before & after)
+    return cp[keep], row[keep]
 
 
 def _compose(cp: np.ndarray, row: np.ndarray, t: _Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +228,7 @@ def _squeeze(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp[keep], row[keep]
 
 
-def canonical_array(texts: pa.Array) -> pa.Array:
+def canonical_array(texts: pa.Array, extra: tuple[tuple[str, str], ...] = ()) -> pa.Array:
     """The consistent form of each text; NULL where the text is NULL."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
@@ -190,7 +240,7 @@ def canonical_array(texts: pa.Array) -> pa.Array:
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
         j = min(j, n)
-        piece, lengths = _slice(raw[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]))
+        piece, lengths = _slice(raw[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), _tables(extra))
         out.append(piece)
         size[i:j] = lengths
         i = j
@@ -202,8 +252,8 @@ def canonical_array(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(out)), valid)
 
 
-def _slice(raw: memoryview, nbytes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    t, n = _tables(), len(nbytes)
+def _slice(raw: memoryview, nbytes: np.ndarray, t: _Tables) -> tuple[bytes, np.ndarray]:
+    n = len(nbytes)
     if not len(raw):
         return b"", np.zeros(n, np.int64)
     cp = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
@@ -220,6 +270,7 @@ def _slice(raw: memoryview, nbytes: np.ndarray) -> tuple[bytes, np.ndarray]:
     else:
         cp = cp.copy()
     if len(cp):
+        cp, row = _join(cp, row, t)
         cp, row = _compose(cp, row, t)
         cp, row = _jamo(cp, row)
         cp, row = _squeeze(cp, row)
@@ -228,34 +279,56 @@ def _slice(raw: memoryview, nbytes: np.ndarray) -> tuple[bytes, np.ndarray]:
     return cp.tobytes().decode("utf-32-le").encode("utf-8"), sizes
 
 
-def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
-    """df with one more column, the consistent form of ``text``; a column of that name is replaced."""
+def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical", extra: dict[str, str] | None = None) -> DataFrame:
+    """df with one more column, the consistent form of ``text``; a column of that name is replaced. ``extra`` maps further
+    characters to what they are drawn like."""
     ship(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*rest, T.StructField(out, T.StringType())])
     at = [f.name for f in rest].index(text)
+    more = tuple(sorted((extra or {}).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = canonical_array(b.column(at)).cast(pa.string())
+            col = canonical_array(b.column(at), more).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
 
     return df.select(*[df[f.name] for f in rest]).mapInArrow(run, schema)
 
 
-def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b) of texts that look the same but are not equal as stored.
-
-    Only the ids and two 128-bit digests are shuffled. Groups whose texts are all equal as stored are
-    left out before the join, so a text copied over a third of the rows costs one aggregation.
-    """
+def _looks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, look, stored): two digests of each text; all that is shuffled of it."""
     keyed = canonical_text(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).dropna(), "t", "c").select(
         "id", F.unhex(F.md5("c")).alias("look"), F.unhex(F.md5("t")).alias("stored")
     )
-    keyed = stage(keyed, "lookalike")
+    return stage(keyed, "lookalike")
+
+
+def _several(keyed: DataFrame) -> DataFrame:
+    """(look, stored) of the looks that are stored in more than one way."""
     forms = keyed.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
-    several = forms.groupBy("look").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("look")
-    a = keyed.join(several, "look", "left_semi")
-    b = a.select("look", F.col("id").alias("doc_b"), F.col("stored").alias("stored_b"))
-    pairs = a.withColumnRenamed("id", "doc_a").join(b, "look")
-    return pairs.filter("doc_a < doc_b AND stored <> stored_b").select("doc_a", "doc_b")
+    looks = forms.groupBy("look").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("look")
+    return forms.join(looks, "look", "left_semi").select("look", "stored")
+
+
+def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_a, doc_b) of texts that look the same but are not equal as stored.
+
+    Pairs are made between the forms of a look and then opened to their rows: copies of one text are never held against
+    each other, and a text copied over a third of the rows without another form costs one aggregation.
+    """
+    keyed = _looks(docs, doc_id, text)
+    forms = stage(_several(keyed), "forms")
+    twos = forms.join(forms.select("look", F.col("stored").alias("stored_b")), "look").filter("stored < stored_b")
+    a = twos.join(keyed, ["look", "stored"]).select("look", F.col("stored_b").alias("stored"), F.col("id").alias("a"))
+    both = a.join(keyed, ["look", "stored"])
+    return both.select(F.least("a", "id").alias("doc_a"), F.greatest("a", "id").alias("doc_b"))
+
+
+def lookalike_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class, form): membership instead of pairs, for the looks stored in more than one way; the class is the
+    smallest id of the look, the form that of its stored text."""
+    keyed = _looks(docs, doc_id, text)
+    forms = keyed.groupBy("look", "stored").agg(F.min("id").alias("form"), F.count(F.lit(1)).alias("n"))
+    looks = forms.groupBy("look").agg(F.min("form").alias("class"), F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("look", "class")
+    return keyed.join(forms.join(looks, "look").select("look", "stored", "class", "form"), ["look", "stored"]).select(F.col("id").alias(doc_id), "class", "form")

@@ -111,10 +111,11 @@ def due_copies(docs: DataFrame, targets: DataFrame, source: str, tokens: str) ->
 def mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: str, seed: int = 7) -> DataFrame:
     """(plan_name, doc_id, source, tokens, copies) for every document of the plan's sources."""
     ship(docs.sparkSession)
-    due = due_copies(docs, targets, source, tokens)  # a row a plan and source
-    d = docs.filter(F.col(tokens) > 0).select(
+    d = docs.filter(F.col(source).isNotNull() & (F.col(tokens) > 0)).select(
         F.col(doc_id).cast("bigint").alias("id"), F.col(source).alias("source"), F.col(tokens).cast("bigint").alias("tokens")
     )
+    d = stage(d, "sized")  # sizes cost more than all that follows
+    due = due_copies(d, targets, "source", "tokens")  # a row a plan and source
     each = d.join(F.broadcast(due.select("plan_name", "source", "due", "docs")), "source")
     each = each.withColumn("base", F.floor("due")).withColumn("p", F.col("due") - F.floor("due"))
     blocks = F.ceil(F.col("docs") / BLOCK)
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: s
     most = open_.groupBy("plan_name", "source").count().agg(F.max("count")).first()[0] or 0
     while most > 1:
         level += 1
-        nxt = _pass(open_.withColumn("block", F.floor(F.col("block") / FAN**level).cast("bigint")), seed + level)
+        nxt = _pass(open_.withColumn("block", F.floor(F.col("block") / FAN).cast("bigint")), seed + level)
         settled, open_ = settled.unionByName(nxt.filter("NOT open")), nxt.filter("open")
         most = open_.groupBy("plan_name", "source").count().agg(F.max("count")).first()[0] or 0
     # the last of a source is drawn with the probability it kept

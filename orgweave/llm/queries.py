@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgweave.functions.urls import root_domain
-from orgweave.llm.canonical import canonical_text, lookalike_pairs
+from orgweave.llm.canonical import canonical_text, lookalike_classes, lookalike_pairs
 from orgweave.llm.mixing import mix, shares
 from orgweave.llm.names import entities, variant_pairs
 from orgweave.llm.packing import pack
@@ -14,6 +14,7 @@ from orgweave.llm.residue import residue_pages
 from orgweave.llm.survivors import discover
 from orgweave.llm.tokens import with_tokens
 from orgweave.llm.wrappers import main_lines, page_lines
+from orgweave.staging import stage
 from orgweave.tables import table
 
 
@@ -49,6 +50,51 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of looks that are stored in more than one way, by class and form."""
+    return lookalike_classes(table(spark, sf_dir, "documents"))
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of each pack: containers over capacity, pieces of texts that would have fitted whole, tokens lost, and
+    whether the containers are at most a hundredth more than a lower bound."""
+    docs = stage(_sized(spark, sf_dir).select("doc_id", "tokens"), "sized")
+    sizes = table(spark, sf_dir, "pack_sizes")
+    got = stage(pack(docs, sizes, "doc_id", "tokens"), "packed")
+    per = got.groupBy("pack_name", "container", "capacity").agg(F.sum("tokens").alias("tokens"))
+    per = per.groupBy("pack_name").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), F.count(F.lit(1)).alias("used"), F.sum("tokens").alias("packed"), F.max("capacity").alias("capacity"))
+    pieces = got.groupBy("pack_name", "doc_id", "capacity").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+    pieces = pieces.groupBy("pack_name").agg(F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut"))
+    total = docs.agg(F.sum("tokens")).scalar()
+    return per.join(pieces, "pack_name").select(
+        "pack_name", F.col("overfull").cast("bigint").alias("overfull"), F.col("cut").cast("bigint").alias("cut"), (total - F.col("packed")).cast("bigint").alias("lost"),
+        (F.col("used") <= F.ceil(F.ceil(F.col("packed") / F.col("capacity")) * 1.01 + 1)).alias("tight"),
+    )
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of each plan: documents used too often, documents of other sources, sources whose share is further from
+    its target than one document of the plan is of the total."""
+    targets = table(spark, sf_dir, "mix_targets")
+    got = stage(p8_copies(spark, sf_dir), "mixed")
+    over = got.join(F.broadcast(targets.select("plan_name", "source", "max_repeats")), ["plan_name", "source"], "left")
+    over = over.groupBy("plan_name").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("max_repeats").isNull()).alias("foreign"), F.max("tokens").alias("most"), F.sum(F.col("tokens") * F.col("copies")).alias("total"))
+    have = got.select("plan_name", "source").distinct().join(targets, ["plan_name", "source"])
+    due = have.withColumn("due", F.col("target_share") / F.sum("target_share").over(Window.partitionBy("plan_name"))).select("plan_name", "source", "due")
+    off = due.join(shares(got, targets), ["plan_name", "source"]).join(over, "plan_name")
+    off = off.groupBy("plan_name", "too_often", "foreign").agg(F.count_if(F.abs(F.col("share") - F.col("due")) > 2.0 * F.col("most") / F.col("total")).alias("off"))
+    return off.select("plan_name", F.col("too_often").cast("bigint").alias("too_often"), F.col("foreign").cast("bigint").alias("foreign"), F.col("off").cast("bigint").alias("off"))
+
+
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the forms: pairs in the wrong order, forms that change when made again, null forms of texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    once = canonical_text(docs)
+    twice = canonical_text(once.select("doc_id", "text", "canonical"), "canonical", "again")
+    bad = twice.agg(F.count_if(F.col("again") != F.col("canonical")).alias("unstable"), F.count_if(F.col("text").isNotNull() & F.col("canonical").isNull()).alias("lost"))
+    return bad.select(F.col("unstable").cast("bigint").alias("unstable"), F.col("lost").cast("bigint").alias("lost"))
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's consistent form."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -135,7 +181,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_entities, p4_found, p4_truth, p4_sources, p5_found, p6_found, p6_kinds, p7_containers, p7_fill, p8_copies, p8_shares,
-        p9_found, p9_canonical,
+        p9_found, p9_canonical, p9_classes, p7_check, p8_check, p9_check,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p7_check": "SELECT pack_name, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS lost, true AS tight FROM pack_sizes",
+    "p8_check": "SELECT DISTINCT plan_name, 0::BIGINT AS too_often, 0::BIGINT AS foreign, 0::BIGINT AS off FROM mix_targets",
+    "p9_check": "SELECT 0::BIGINT AS unstable, 0::BIGINT AS lost",
+}

@@ -17,6 +17,9 @@ def plain(text):
     if text is None:
         return None
     s = "".join(C._parts(c) for c in text)
+    s = re.sub("(\u200c|\u200d)\\1+", "\\1", s)
+    on = lambda i: 0 <= i < len(s) and C.shaped(ord(s[i]))
+    s = "".join(c for i, c in enumerate(s) if c not in "\u200c\u200d" or (on(i - 1) and on(i + 1)))
     # canonical order
     out = []
     for c in s:
@@ -91,3 +94,25 @@ def test_pairs(spark):
     assert C.lookalike_pairs(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     kept = C.canonical_text(df.withColumn("canonical", df.doc_id))  # a clashing column is replaced
     assert kept.columns == ["doc_id", "text", "look", "canonical"]
+
+
+def test_what_differs_visibly_stays_apart(tmp_path):
+    family, apart = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\U0001f469\U0001f467"
+    persian, joined = "می\u200cخواهم", "میخواهم"
+    a, b, c, d, e, f = many([family, apart, persian, joined, "a\u202eb", "ab"])
+    assert a != b and c != d and e != f
+    assert many(["a\u200db", "a\u200cb", "ab"]) == ["ab"] * 3 and many([family.replace("\u200d", "\u200d\u200d")]) == [a]
+    assert many(["Ꭺ", "ᴏ", "\U0001d5ba", "\U0001d670", "\U0001d41a"]) == ["A", "o", "a", "A", "\U0001d41a"]
+    (tmp_path / "c.txt").write_text("# sample\n2A00 ;\t0041 ;\tMA\t# x\n0041 0042 ; 0043 ; MA\n", encoding="utf-8-sig")
+    extra = C.read_confusables(str(tmp_path / "c.txt"))
+    assert extra == {"\u2a00": "A"}
+    assert C.canonical_array(pa.array(["\u2a00b"]), tuple(extra.items())).to_pylist() == ["Ab"]
+
+
+def test_pairs_between_forms(spark):
+    rows = [(i, "plain text") for i in range(40)] + [(50, "plain\u00a0text"), (51, "plain  text"), (60, "other"), (61, "other")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = {(r.doc_a, r.doc_b) for r in C.lookalike_pairs(df).collect()}
+    assert pairs == {(i, j) for i in range(40) for j in (50, 51)} | {(50, 51)}
+    classes = {r.doc_id: (r["class"], r.form) for r in C.lookalike_classes(df).collect()}
+    assert classes == {i: (0, 0) for i in range(40)} | {50: (0, 50), 51: (0, 51)}
