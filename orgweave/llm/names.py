@@ -339,7 +339,7 @@ def _open(forms: DataFrame, first: bool) -> DataFrame:
     kinds = kinds.otherwise(F.when(bare, F.concat(trades, F.array(*some))).otherwise(trades))
     rows = forms.withColumn("word", F.explode(words)).withColumn("kind", F.explode(kinds))
     rows = rows.select(
-        "id", "own", "bag", "letters", bare.alias("bare"), F.col("root").isNotNull().alias("sited"), "word", "kind",
+        "id", "own", "bag", _meta(F.col("letters"), bare, F.col("root").isNotNull()).alias("meta"), "word", "kind",
         F.least(F.lit(SUFFIX), F.length("word")).alias("size"), F.lit("").alias("tail"),
     )
     return _keyed(rows)
@@ -392,18 +392,27 @@ def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not last:
                 now[i] = stage(_split(rows.join(common, "suffix", "left_semi")), "split")
         if last:
-            cols = ["suffix", "id", "bag", "letters", "bare", "sited"]
+            cols = ["suffix", "id", "bag", "meta"]
             return tuple(reduce(DataFrame.unionByName, (x.select(cols) for x in d)) for d in done)
 
 
 def _match(a: DataFrame, b: DataFrame, forms: DataFrame) -> DataFrame:
     """(id, id_b, sited_b, stated, score) of the pairs of one block with an LCS ratio >= RATIO; a's have no site, and of
     two without a site each is held against later ones only."""
-    b = b.select("suffix", *[F.col(c).alias(f"{c}_b") for c in ("id", "bag", "letters", "bare", "sited")])
-    pairs = a.join(b, "suffix").filter(_near() & (F.col("sited_b") | (F.col("id") < F.col("id_b")))).select("id", "id_b", "sited_b").distinct()
+    opened = lambda df, x: df.select(
+        "suffix", F.col("id").alias(f"id{x}"), F.col("bag").alias(f"bag{x}"), F.shiftright("meta", 2).alias(f"letters{x}"),
+        (F.col("meta").bitwiseAND(2) > 0).alias(f"bare{x}"), (F.col("meta").bitwiseAND(1) > 0).alias(f"sited{x}"),
+    )
+    # the forms without a site are the fewer; no block is large
+    pairs = opened(a, "").hint("shuffle_hash").join(opened(b, "_b"), "suffix").filter(_near() & (F.col("sited_b") | (F.col("id") < F.col("id_b")))).select("id", "id_b", "sited_b").distinct()
     return _compared(pairs, forms)
 
 
+def _meta(letters: Column, bare: Column, sited: Column) -> Column:
+    """Three small values of an index row in one, as these rows are what is shuffled most."""
+    return letters * 4 + F.when(bare, 2).otherwise(0) + F.when(sited, 1).otherwise(0)
+
+
 def _near() -> Column:
     """Letters that one of two words lacks are lost to their subsequence; of words with an initial only a part is compared."""
     total = F.col("letters") + F.col("letters_b")
