@@ -31,6 +31,24 @@ CLIENT_PATHS = (
     "/success-stories", "/customers", "/partners", "/testimonials",
 )
 
+# Words of addresses that describe services, and paths where such pages are looked for.
+SERVICE_URL_WORDS = (
+    "service", "what-we-do", "whatwedo", "capabilit", "solution", "paid-media",
+    "paidmedia", "social", "advertis", "media-buying", "mediabuying", "ppc",
+    "paid-search", "paid-social", "expertise", "channel", "offering", "marketing",
+)
+SERVICE_PATHS = (
+    "/services", "/what-we-do", "/capabilities", "/solutions", "/paid-media",
+    "/social", "/social-media", "/services/paid-media", "/services/social-media",
+    "/what-we-do/paid-media", "/expertise", "/our-services", "/advertising",
+    "/paid-social", "/media-buying", "/digital-marketing",
+)
+
+
+def service_url(url: Column | str) -> Column:
+    """Whether an address is shaped like a page that describes services."""
+    return F.lower(url_part(url, 3)).rlike("|".join(SERVICE_URL_WORDS))
+
 
 def find_evidence(html: Column, url: Column, terms=TERMS, platform: str = PLATFORM) -> Column:
     """Array of (kind, term, url, context): one mention a term in prose, the first link to the platform, and
@@ -192,9 +210,26 @@ def candidate_pages(pages: DataFrame, sitemaps: DataFrame | None = None, paths:
     return top.select("agency", F.col("b.url").alias("url"), F.col("b.depth").alias("depth"))
 
 
+def service_candidates(pages: DataFrame, sitemaps: DataFrame | None = None, most: int = 14) -> DataFrame:
+    """(agency, url, place): the front page, service-shaped addresses of sitemaps, then of the front page's links, then
+    the usual paths; once an address, at most ``most`` an agency."""
+    home = first_wins(pages.filter("agency IS NOT NULL").select("agency", "page_id", F.col("url").alias("at"), "text"), ["agency"], "page_id")
+    origin = F.concat(F.lit("https://"), "agency")
+    front = home.select("agency", F.lit(0).alias("part"), F.lit(0).alias("o"), canonical_url(origin).alias("url"))
+    nav = home.select("agency", F.lit(2).alias("part"), F.posexplode(nav_links("text", "at", "agency")).alias("o", "url")).filter(service_url("url"))
+    usual = home.select("agency", F.lit(3).alias("part"), F.posexplode(F.array(*[F.lit(p) for p in SERVICE_PATHS])).alias("o", "p"))
+    usual = usual.select("agency", "part", "o", canonical_url(F.concat(origin, "p")).alias("url"))
+    every = front.unionByName(nav).unionByName(usual)
+    if sitemaps is not None:
+        every = every.unionByName(sitemaps.filter(service_url("url")).select(F.col("site").alias("agency"), F.lit(1).alias("part"), F.lit(0).alias("o"), canonical_url("url").alias("url")))
+    once = every.groupBy("agency", url_key("url").alias("_k")).agg(F.min(F.struct("part", "o", "url")).alias("b"))
+    top = row_number_over(once, ["agency"], [F.col("b")], most)
+    return top.select("agency", F.col("b.url").alias("url"), F.col("b.part").alias("place"))
+
+
 def search_links(verticals: DataFrame, metros: DataFrame) -> DataFrame:
     """A search address for each term and place, for people to open: (term, geo, query, url)."""
-    pairs = verticals.crossJoin(F.broadcast(metros))  # two short lists; their product is the result
+    pairs = verticals.crossJoin(metros)  # two short lists; their product is the result
     q = F.concat(F.lit('"'), "term", F.lit(' marketing agency" '), "geo")
     return pairs.select("term", "geo", q.alias("query"), F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(q)).alias("url"))
 

@@ -87,6 +87,36 @@ def ranked(scores: DataFrame) -> DataFrame:
     )
 
 
+def leaderboard(stored: DataFrame, row: str, most: int) -> DataFrame:
+    """The first rows of a stored scorecard, whose counts may be text; what is no number is 0."""
+    whole = lambda c: F.coalesce(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)"), F.lit(0).cast("bigint"))
+    counts = ("qualifying", "tiktok_free", "coverage_pct")
+    rows = stored.select(*[c for c in stored.columns if c not in counts], *[whole(c).alias(c) for c in counts])
+    return rows.orderBy(*[F.desc(c) for c in counts], row).limit(most)
+
+
+def target_label(mentions: Column, status: Column) -> Column:
+    """What a look at an agency says, in words."""
+    low = F.lower(F.trim(mentions))
+    unknown = F.concat(F.lit("could not tell ("), F.coalesce(blank_to_null(F.trim(status)), F.lit("unknown")), F.lit(")"))
+    return F.when(low == "yes", "already there").when(low == "no", "not there: a target").otherwise(unknown)
+
+
+def scan_label(status: Column, target: Column, qualifies: Column) -> Column:
+    """What a scan says, in words."""
+    low = lambda c: F.lower(F.trim(c))
+    unread = F.concat(F.lit("could not read ("), F.coalesce(blank_to_null(F.trim(status)), F.lit("unknown")), F.lit(")"))
+    return (
+        F.when(~F.coalesce(low(status) == "ok", F.lit(False)), unread).when(low(target) == "yes", "there")
+        .when(low(qualifies) == "yes", "not there, others are: qualifies").otherwise("not there, nor others")
+    )
+
+
+def counts_by(df: DataFrame, column: str) -> DataFrame:
+    """Rows by the value of a column, case and blanks ignored; '' for none."""
+    return df.groupBy(F.coalesce(F.lower(F.trim(column)), F.lit("")).alias(column)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def score_notes(notes: Column, summary: Column) -> Column:
     """Notes with a former SCORE segment dropped and the new one at the end."""
     old = F.filter(F.split(F.coalesce(notes, F.lit("")), r" \| "), lambda p: ~p.startswith("SCORE ") & (p != ""))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +67,20 @@ def read_domains(spark: SparkSession, source: str, column: str | None = None) ->
     return one.filter("domain <> ''")
 
 
+def read_verdicts(spark: SparkSession, source: str, fields: Sequence[str]) -> DataFrame:
+    """Reviewers' verdict rows of a CSV file or a stored table; a source that isn't there is an error, no empty answer."""
+    if source.lower().endswith(".csv"):
+        return read_csv(spark, source, fields)
+    rows = spark.read.parquet(source)
+    return rows.select(*[(F.col(f).cast("string") if f in rows.columns else F.lit(None).cast("string")).alias(f) for f in fields])
+
+
+def stamp(at: Column | None = None) -> Column:
+    """A time as tables record it: minutes, UTC."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm")
+
+
 def candidates(domains: DataFrame, domain: str, vertical: str = "", geo: str = "", source: str = "") -> DataFrame:
     """Rows of new agencies: every field there, later stages' fields blank."""
     none = F.lit(None).cast("string")
@@ -87,8 +100,9 @@ def save_required(df: DataFrame, path: str) -> None:
 
 def load_required(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
     """The list, or an error (None if not required) where it is missing or empty."""
-    local = path.removeprefix("file://")
-    df = spark.read.parquet(path) if "://" in path.removeprefix("file://") or os.path.exists(local) else None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    df = spark.read.parquet(path) if there else None
     if df is None or df.isEmpty():
         if required:
             raise ValueError(f"no list at {path}")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orgweave.operators.upsert import coalescing_upsert
@@ -48,6 +49,20 @@ def upsert_available(
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_until(writer: DataStreamWriter, should_stop: Callable[[], bool], every: str = "10 seconds", look: float = 0.2) -> int:
+    """Keep a stream going, a micro-batch every so often, until told to stop or it ends; then the batch at work is
+    finished and saved before the query stops. Returns the batches done; a later run goes on behind them."""
+    q = writer.trigger(processingTime=every).start()
+    while q.isActive and not should_stop():
+        q.awaitTermination(look)
+    while q.isActive and q.status["isTriggerActive"]:
+        q.awaitTermination(look)
+    q.stop()
+    if q.exception() is not None:
+        raise q.exception()
+    return 0 if q.lastProgress is None else q.lastProgress["batchId"] + 1
+
+
 def latest_version(spark: SparkSession, table: str, number: str = "v") -> DataFrame:
     every = spark.read.parquet(table)
     return every.filter(F.col(number) == every.agg(F.max(number)).first()[0]).drop(number)
