@@ -50,6 +50,8 @@ NOISE = frozenset(
 )
 #: A word is one of trades where it stands in names of so many sites: at least LEAST, and one in SPREAD of all.
 LEAST, SPREAD = 4, 2000
+#: Roots up to which those of one organisation are sent to all executors; more are joined.
+FEW_ROOTS = 100_000
 #: A host is shared if it has MANY forms or more and fewer than this share of its rows resemble its label or its
 #: commonest name.
 MANY, RESEMBLE = 5, 0.3
@@ -383,8 +385,8 @@ def _index(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = [_open(first, True), _open(second, False)]
     done: list[list[DataFrame]] = [[], []]
     while True:
-        count = lambda df, n: df.groupBy("suffix").agg(F.count(F.lit(1)).alias(n))
-        common = count(now[0], "a").join(count(now[1], "b"), "suffix")
+        every = now[0].select("suffix", F.lit(1).alias("a")).unionByName(now[1].select("suffix", F.lit(0).alias("a")))
+        common = every.groupBy("suffix").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
         common = stage(common.filter(F.col("a") * F.col("b") > COMMON * COMMON / 4).select("suffix"), "common")
         last = common.isEmpty()
         for i, rows in enumerate(now):
@@ -457,16 +459,22 @@ def _label(root: str) -> Column:
     return F.regexp_replace(F.substring_index(root, ".", 1), "-", "")
 
 
-def shared_hosts(sited: DataFrame) -> DataFrame:
-    """(root) of hosts many organisations share, from their forms (root, own, n)."""
-    plain = sited.filter("own <> ''").select("root", F.regexp_replace("own", r"\|", "").alias("own"), "n")
-    top = plain.groupBy("root").agg(F.count(F.lit(1)).alias("_forms"), F.max(F.struct("n", "own"))["own"].alias("_top")).filter(F.col("_forms") >= MANY)
+def chief_forms(sited: DataFrame) -> DataFrame:
+    """The commonest form with words of its own of each site, and how many ``forms`` the site has."""
+    best = F.struct((F.col("plain") != "").alias("has"), "n", -F.col("id"), *[c for c in sited.columns if c not in ("root", "n")])
+    chief = sited.groupBy("root").agg(F.max(best).alias("m"), F.count(F.lit(1)).alias("forms"))
+    return stage(chief.select("root", "m.n", "forms", *[f"m.{c}" for c in sited.columns if c not in ("root", "n")]), "chief")
+
+
+def shared_hosts(sited: DataFrame, chief: DataFrame) -> DataFrame:
+    """(root) of hosts many organisations share, from their forms (root, plain, n) and commonest forms."""
+    many = chief.filter(F.col("forms") >= MANY).select("root", F.regexp_replace("plain", r"\|", "").alias("_top"))
+    plain = sited.filter("plain <> ''").select("root", F.regexp_replace("plain", r"\|", "").alias("own"), "n").join(many, "root")
     like = lambda x: F.levenshtein("own", x) * 2 <= F.greatest(F.length("own"), F.length(x))
-    label = _label("root")
-    fits = plain.join(top, "root").groupBy("root").agg(
-        (F.sum(F.when(like(F.col("_top")) | like(label), F.col("n")).otherwise(0)) / F.sum("n")).alias("_fit")
+    fits = plain.groupBy("root").agg(
+        (F.sum(F.when(like(F.col("_top")) | like(_label("root")), F.col("n")).otherwise(0)) / F.sum("n")).alias("_fit"), F.count(F.lit(1)).alias("_forms")
     )
-    return fits.filter(F.col("_fit") < RESEMBLE).select("root")
+    return fits.filter((F.col("_forms") >= MANY) & (F.col("_fit") < RESEMBLE)).select("root")
 
 
 def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -486,12 +494,14 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
         return stage(got.withColumn("bag", F.arrow_udf(_bags, "bigint")("own")).withColumn("letters", F.length(F.regexp_replace("own", r"\|", ""))), "forms")
 
     measured = grouped(rows)
-    shared = stage(shared_hosts(measured.filter("root IS NOT NULL").select("root", F.col("plain").alias("own"), "n")), "shared")
+    chief = chief_forms(measured.filter("root IS NOT NULL"))
+    shared = stage(shared_hosts(measured.filter("root IS NOT NULL"), chief), "shared")
     if not shared.isEmpty():
         rows = spread_join(rows, shared.withColumn("_shared", F.lit(True)), ["root"])
         rows = stage(rows.withColumn("root", F.when(F.col("_shared").isNull(), F.col("root"))).drop("_shared"), "names")
         measured = grouped(rows)
-    measured = measured.drop("plain")
+        chief = chief_forms(measured.filter("root IS NOT NULL"))
+    measured, chief = measured.drop("plain"), chief.drop("plain", "forms")
     sited, free = measured.filter("root IS NOT NULL"), measured.filter("root IS NULL")
     links = stage(_match(*_index(free, measured), measured), "links")
 
@@ -514,13 +524,14 @@ def entities(df: DataFrame, row: str, name: str, domain: str, keep: Sequence[str
     of_form = free.select(*form, "id").join(of_form, "id").drop("id")
     with_site = rows.filter("root IS NOT NULL").withColumn("entity", F.concat(F.lit("s:"), F.col("root")))
     # roots of one organisation; of a site the commonest form seeks the others
-    chief = sited.groupBy("root").agg(F.max(F.struct("n", -F.col("id"), *[c for c in sited.columns if c not in ("root", "n")])).alias("m"))
-    chief = chief.select("root", "m.n", *[f"m.{c}" for c in sited.columns if c not in ("root", "n")]).select(sited.columns)
     apart = stage(_two_sites(sited, chief), "apart")
     if not apart.isEmpty():
         no = chief.select("root", "id")
         ids = apart.join(no.select(F.col("root").alias("_from"), F.col("id").alias("a")), "_from").join(no.select(F.col("root").alias("_to"), F.col("id").alias("b")), "_to")
         same = components(ids, "a", "b").join(no, "id").select("root", F.concat(F.lit("r:"), F.col("component").cast("string")).alias("_e"))
+        same = stage(same, "same")
+        if same.count() <= FEW_ROOTS:
+            same = F.broadcast(same)
         with_site = with_site.join(same, "root", "left").withColumn("entity", F.coalesce("_e", "entity"))
         of_form = of_form.join(same.withColumnRenamed("root", "home"), "home", "left").withColumn("entity", F.coalesce("_e", "entity"))
     without = rows.filter(F.col("root").isNull() & has_own).join(of_form.select(*form, "entity"), form)
