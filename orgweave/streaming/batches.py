@@ -18,7 +18,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet", schema: str | T.StructType = EVENTS) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    """Rows of the tables of ``folder`` whose names match ``files``; a table is a file or a folder of parts."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{files}}}")  # a source's path is a pattern or a folder, no file
 
 
 def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -1,6 +1,11 @@
-"""Stopping a stream, verdict sources, stamps, service pages, and what a re-check hands on."""
+"""Stopping a stream, tables in parts, verdict sources, stamps, service pages, and what a re-check hands on."""
 
+import os
+import shutil
+
+import pyarrow.parquet as pq
 import pytest
+from orgweave import queries_stream
 from orgweave.operators.discover import service_candidates
 from orgweave.plans import checks
 from orgweave.sources import tabular
@@ -32,6 +37,23 @@ def test_a_failing_batch_is_an_error(spark, sf, tmp_path):
         batches.run_until(writer, lambda: False, every="0 seconds")
 
 
+@pytest.mark.parametrize("name", ["stream_scorecard", "stream_resume", "stream_upsert", "stream_state"])
+def test_streams_of_tables_in_parts(spark, sf, tmp_path, name):
+    for f in os.listdir(sf):
+        if f in ("clients.parquet", "events.parquet"):
+            (tmp_path / f).mkdir()
+            rows = pq.read_table(f"{sf}/{f}")
+            third = rows.num_rows // 3 + 1
+            for i in range(3):
+                pq.write_table(rows.slice(i * third, third), tmp_path / f / f"part-{i}.parquet")
+            (tmp_path / f / "_SUCCESS").touch()
+        else:
+            shutil.copy(f"{sf}/{f}", tmp_path / f)
+    run = queries_stream.QUERIES[name]
+    got, due = (sorted(map(str, run(spark, at).collect())) for at in (str(tmp_path), sf))
+    assert got == due and got
+
+
 def test_verdicts_and_stamps(spark, tmp_path):
     (tmp_path / "v.csv").write_text("client_name,verdict\nElm,good\n")
     assert [tuple(r) for r in tabular.read_verdicts(spark, str(tmp_path / "v.csv"), ["client_name", "verdict", "note"]).collect()] == [("Elm", "good", None)]
