@@ -45,6 +45,8 @@ from orgweave.staging import stage
 #: Pages of a block, expressions combined in a task (a power of two), characters of text held for parsing.
 BLOCK, FAN_BITS, HOLD = 512, 6, 1 << 23
 MAX_SPLIT_SITES = 20000
+#: Bytes of expressions, as rows in memory, that are sent to every executor; more are joined to their pages.
+SENT = 1 << 22
 #: An element needs this share of the pages (two at least); one below 1/KEEP of KEEP * 2 pages or more is let go.
 CONFIRM, KEEP = 0.1, 16
 #: Occurrences of one token on a page that are aligned; more make one repeated element of them all.
@@ -477,6 +479,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.batch(1)
 
 
+def _beside(src: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pages of the hosts in ``parts`` beside their expressions. A Parquet file says little of the memory expressions need,
+    as hosts share lines, so their size is counted, and the copies of a spread join are never broadcast."""
+    wide = parts.select("site", "n", "tokens", "support")
+    size = parts.agg(F.sum(F.octet_length(F.array_join("tokens", "")) + 24 * F.size("tokens") + 100)).first()[0]
+    if size <= SENT:
+        return src.join(F.broadcast(wide), "site")
+    # names of cut hosts, and of hosts with more than HOLD characters
+    src = src.join(F.broadcast(parts.select("site")), "site", "left_semi")
+    return spread_join(src, wide.hint("merge"), ["site"], "inner", 64)
+
+
 _PART = ["site", "block", "hash", "n", "tokens", "support"]
 
 
@@ -490,8 +504,7 @@ def _read_again(src: DataFrame, parts: DataFrame, cut: DataFrame) -> DataFrame:
     # arithmetic shifts leave -1 and 0 for the two halves
     parts = parts.withColumn("block", F.lit(0)).repartition("site").sortWithinPartitions("site", "hash").mapInArrow(_combine, _SCHEMA).select(*_PART)
     parts = stage(parts, "expressions")
-    again = spread_join(src, parts.select("site", "n", "tokens", "support"), ["site"], "inner", 64)
-    return stage(again.mapInArrow(_parse, _SCHEMA), "parsed")
+    return stage(_beside(src, parts).mapInArrow(_parse, _SCHEMA), "parsed")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:

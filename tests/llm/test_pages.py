@@ -177,3 +177,16 @@ def test_long_lines_are_searched_and_judged(spark):
     rows += [page(70, ["Lorem ipsum dolor sit amet. " + "Consectetur adipiscing elit sed do eiusmod. " * 8]), page(71, [talk * 8 + "The request was blocked."])]
     got, bad = lines_of(spark, rows)
     assert bad == {70} and all(got[i] == {5, 6} for i in range(6)) and got[71] == {4}
+
+
+def test_copies_of_expressions_are_not_broadcast(spark, monkeypatch):
+    rows = [page(s * 10 + i, BODIES[i], f"s{s}.test") for s in range(4) for i in range(3)]
+    monkeypatch.setattr(W, "BLOCK", 2)
+    plans, keep = [], W.stage
+    monkeypatch.setattr(W, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "parsed" else None, keep(df, name))[1])
+    got = []
+    for most in (1 << 22, 0):  # all expressions sent once, and none
+        monkeypatch.setattr(W, "SENT", most, raising=False)
+        got.append(lines_of(spark, rows))
+    sent, joined = plans
+    assert "_salt" not in sent and "SortMergeJoin" in joined and got[0] == got[1] and len(got[0][0]) == 12
